@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, exact_index, url_rules
-from .common import documents
+from . import curriculum, exact_index, matroska, merge_table, url_rules, warc
+from .common import documents, stored
 
 RULES = [
     ("allow", "com", "/"),
@@ -19,6 +19,13 @@ MIX_WEIGHTS = [3.0, 1.0, 2.0]
 MIX_SCHEDULES = [curriculum.STEADY, curriculum.EARLY, curriculum.LATE]
 
 
+def piece_model() -> str:
+    """Where the public merge-type model lies on this machine and, installed alike, on the executors'."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, RULES))
@@ -35,10 +42,29 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.features(stored(matroska.store_texts(documents(spark, sf_dir)), "media"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    coded = merge_table.encode_texts(documents(spark, sf_dir), model_path or piece_model())
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.decide(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    normal = stored(warc.normalise(stored(warc.write_archives(records), "warc-gz")), "warc-members")
+    return warc.read_records(normal).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_media_columns": op8_media_columns,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_warc": op10_warc,
 }
 
 RULE_VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
@@ -97,5 +123,12 @@ timed AS (
   FROM took t JOIN goals g ON t.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
        CASE WHEN copies > 0 THEN round(least(place, 1.0), 7) END AS first_position FROM timed
+""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f
 """,
 }
