@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, exact_index, matroska, merge_table, url_rules, warc
+from . import curriculum, exact_index, matroska, merge_table, pairwise_quality, url_rules, warc
 from .common import documents, stored
 
 RULES = [
@@ -26,6 +26,19 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def quality_ranking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> pairwise_quality.Ranking:
+    """Learned from the labelled rows of ``docs`` outside the held-out third."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(pairwise_quality.id_remainder(F.col("doc_id"), 3) != 1)
+    return pairwise_quality.learn(*pairwise_quality.training_sample(docs, labels, "quality"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = pairwise_quality.score_texts(docs, quality_ranking(spark, docs, sf_dir))
+    held_out = (pairwise_quality.id_remainder(F.col("doc_id"), 3) == 1).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "rank_score")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, RULES))
@@ -59,6 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
