@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, exact_index, matroska, merge_table, pairwise_quality, url_rules, warc
+from . import curriculum, exact_index, lattice_lm, matroska, merge_table, pairwise_quality, url_rules, warc
 from .common import documents, stored
 
 RULES = [
@@ -26,6 +26,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = lattice_lm.fit(docs, pairwise_quality.id_remainder(F.col("doc_id"), 5) != 1, model_path or piece_model())
+    held_out = (pairwise_quality.id_remainder(F.col("doc_id"), 5) == 1).alias("held_out")
+    return lattice_lm.score_texts(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def quality_ranking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> pairwise_quality.Ranking:
     """Learned from the labelled rows of ``docs`` outside the held-out third."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(pairwise_quality.id_remainder(F.col("doc_id"), 3) != 1)
@@ -72,6 +79,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
