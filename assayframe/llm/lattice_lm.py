@@ -3,8 +3,9 @@
 The vocabulary of an existing model file, with its scores, spans a lattice over
 each word; all segmentations count, weighted by the product of their pieces'
 probabilities, and a forward recursion in log space sums them.  One pass of
-expectation-maximisation over the training words, started from the file's own
-scores, fits the probabilities to the corpus.  A word of the training texts is
+expectation-maximisation over the distinct training words, started from the
+file's own scores, fits the probabilities to the corpus (to words, not to
+occurrences, for they have to account for words that are yet unseen).  A word of the training texts is
 an entry of the lattice as a whole, too, with its discounted share of them; the
 mass that discounting frees goes to the subword paths.  A text is a sequence of
 words and one end, so its log probability is a sum over its words:
@@ -264,7 +265,7 @@ def fit(docs: DataFrame, train: Column, model_path: str, text_col: str = "text")
     free = min(1.0, max(discount * types / seen, 1e-9)) if seen else 1.0
     if seen and free >= 1.0:
         discount, free = 0.5, 0.5 * types / seen
-    stop = min(max(seen / pieces, 1e-3), 0.999) if pieces else 0.5
+    stop = min(max(types / pieces, 1e-3), 0.999) if pieces else 0.5
     given = logq + math.log1p(-stop)  # a path of k pieces has the factor (1 - stop)^(k - 1) * stop
     table = stored(_with_lattices(words, model_path, given, -math.log1p(-stop)), "lm-lattices")
     return Model(table, seen + ends, types + (ends > 0), ends, discount, free, stop, hot_from)
@@ -278,15 +279,14 @@ def expectation(words: DataFrame, model_path: str, start: np.ndarray) -> tuple[n
         lattice, used = pieces_of(model_path), None
         for batch in batches:
             texts = [w.decode() for w in batch.column(0).to_pylist()]
-            counts = batch.column(1).to_numpy().astype(float)
             for own in batches_of(texts):
-                _, some = lattice.marginals([texts[i] for i in own], shared.value, counts[own])
+                _, some = lattice.marginals([texts[i] for i in own], shared.value, np.ones(len(own)))
                 used = some if used is None else used + some
         if used is not None:
             at = np.flatnonzero(used)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(used[at])], ["piece", "used"])
 
-    got = words.select("word", "c").mapInArrow(run, "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).toArrow()
+    got = words.select("word").mapInArrow(run, "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).toArrow()
     used = np.zeros(len(start))
     used[got.column("piece").to_numpy()] = got.column("used").to_numpy()
     total = float(used.sum())
