@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, exact_index, lattice_lm, matroska, merge_table, pairwise_quality, url_rules, warc
+from . import curriculum, exact_index, lattice_lm, matroska, merge_table, minhash, pairwise_quality, url_rules, warc
 from .common import documents, stored
 
 RULES = [
@@ -33,6 +33,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str, model_path: str | None = No
     return lattice_lm.score_texts(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def quality_ranking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> pairwise_quality.Ranking:
     """Learned from the labelled rows of ``docs`` outside the held-out third."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(pairwise_quality.id_remainder(F.col("doc_id"), 3) != 1)
@@ -80,6 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_minhash": op3_minhash,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
