@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, exact_index, lattice_lm, matroska, merge_table, minhash, pairwise_quality, url_rules, warc
+from . import curriculum, exact_index, lattice_lm, line_dedup, matroska, merge_table, minhash, pairwise_quality, url_rules, warc
 from .common import documents, stored
 
 RULES = [
@@ -26,6 +26,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedupe_lines(documents(spark, sf_dir))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"], s["last"])), ",").alias("removed_spans")
+    return cleaned.select("doc_id", "n_lines", "removed_lines", spans, F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = lattice_lm.fit(docs, pairwise_quality.id_remainder(F.col("doc_id"), 5) != 1, model_path or piece_model())
@@ -83,6 +89,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_minhash": op3_minhash,
     "op4_quality_classifier": op4_quality_classifier,
@@ -97,6 +104,25 @@ QUERIES = {
 RULE_VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
 ORACLES = {
+    "op1_line_dedup": """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS no FROM cut),
+nb AS (
+  SELECT doc_id, no, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS place
+  FROM l WHERE trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) <> ''),
+w AS (SELECT doc_id, place, s, lead(s) OVER d AS s2, lead(s, 2) OVER d AS s3 FROM nb WINDOW d AS (PARTITION BY doc_id ORDER BY place)),
+f AS (SELECT doc_id, place, row_number() OVER (PARTITION BY s, s2, s3 ORDER BY doc_id, place) AS nth FROM w WHERE s3 IS NOT NULL),
+cov AS (SELECT DISTINCT doc_id, place + d AS place FROM f, (VALUES (0), (1), (2)) v(d) WHERE nth > 1),
+isl AS (SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS g FROM cov),
+spans AS (SELECT doc_id, min(no) AS lo, max(no) AS hi FROM isl JOIN nb USING (doc_id, place) GROUP BY doc_id, g),
+told AS (SELECT doc_id, string_agg(concat(lo, '-', hi), ',' ORDER BY lo) AS removed_spans, sum(hi - lo + 1)::BIGINT AS removed_lines FROM spans GROUP BY doc_id),
+stay AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text FROM l
+  WHERE NOT EXISTS (SELECT 1 FROM spans WHERE spans.doc_id = l.doc_id AND no BETWEEN lo AND hi) GROUP BY doc_id)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(removed_lines, 0) AS removed_lines, coalesce(removed_spans, '') AS removed_spans,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM cut LEFT JOIN told USING (doc_id) LEFT JOIN stay USING (doc_id)
+""",
     "op5_url_filters": f"""
 WITH rules(rule_verdict, rh, rp) AS (VALUES {RULE_VALUES}),
 cut AS (SELECT page_id, CASE WHEN coalesce(instr(url, '://'), 0) > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
