@@ -96,14 +96,6 @@ def pack(least: np.ndarray) -> np.ndarray:
 _LOW = np.uint64(0x5555555555555555)
 
 
-def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarities of packed signatures, each row of ``a`` against each of ``b``."""
-    d = a[:, None, :] ^ b[None, :, :]
-    differ = np.bitwise_count((d | (d >> np.uint64(1))) & _LOW).sum(2, dtype=np.int64)
-    chance = 1.0 / (1 << BITS)
-    return ((CELLS - differ) / CELLS - chance) / (1 - chance)
-
-
 def bar(threshold: float) -> float:
     """The least estimate that a pair at the threshold may have."""
     chance = 1.0 / (1 << BITS)
@@ -140,33 +132,94 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, "id long, n_shingles long, digest binary, bands array<long>, packed binary")
 
 
-def _proposals(rows, threshold: float, complete: bool):
-    """Candidate pairs of one block: the best partner of each class, or all, in other components."""
-    packed = lambda x: np.frombuffer(b"".join(x["packed"]), np.uint64).reshape(len(x), -1)
-    left = rows[rows["side"] <= 1]
-    right = rows[rows["side"] >= 1]
-    least, out = bar(threshold), []
-    a, b = packed(left), packed(right)
-    ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-    na, nb = left["n"].to_numpy(float), right["n"].to_numpy(float)
-    ka, kb = left["class"].to_numpy(), right["class"].to_numpy()
-    for at in range(0, len(left), 256):
-        s = estimates(a[at : at + 256], b)
-        x, y = na[at : at + 256, None], nb[None, :]
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarities of packed signatures, row by row, from counts of unequal cells."""
+    d = a ^ b
+    differ = np.bitwise_count((d | (d >> np.uint64(1))) & _LOW).sum(1, dtype=np.int64)
+    chance = 1.0 / (1 << BITS)
+    return ((CELLS - differ) / CELLS - chance) / (1 - chance)
+
+
+def _within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs inside consecutive groups of these (small) sizes."""
+    starts = np.cumsum(sizes) - sizes
+    left, right = [], []
+    for size in np.unique(sizes):
+        i, j = np.triu_indices(int(size), 1)
+        base = starts[sizes == size][:, None]
+        left.append((base + i).ravel())
+        right.append((base + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _proposals(rows: dict[str, np.ndarray], threshold: float, complete: bool) -> np.ndarray:
+    """Candidate pairs of whole groups: the best partner of each class in another component, or all such."""
+    least = bar(threshold)
+    heads = np.flatnonzero(np.concatenate([[True], rows["group"][1:] != rows["group"][:-1]]))
+    sizes = np.diff(np.concatenate([heads, [len(rows["group"])]]))
+    packed, component, n, key, side = (rows[c] for c in ("packed", "component", "n", "class", "side"))
+    found = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
         # sizes alone rule out a similarity above their ratio
-        s[(ca[at : at + 256, None] == cb[None, :]) | (np.minimum(x, y) < threshold * np.maximum(x, y) - 1e-9)] = -1
-        if complete:
-            i, j = np.nonzero(s >= least)
-        else:
-            j = s.argmax(1)
-            i = np.flatnonzero(s[np.arange(len(s)), j] >= least)
-            j = j[i]
-        out.append(np.stack([ka[at + i], kb[j]], 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    import pandas as pd
+        ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+        ok &= ~((side[i] == side[j]) & (side[i] != 1))
+        i, j = i[ok], j[ok]
+        s = estimates(packed[i], packed[j])
+        good = s >= least
+        i, j, s = i[good], j[good], s[good]
+        if not complete and len(i):
+            both, other, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s])
+            order = np.lexsort((other, -s, both))
+            first = order[np.concatenate([[True], both[order][1:] != both[order][:-1]])]
+            i, j = both[first], other[first]
+        found.append(np.stack([key[i], key[j]], 1))
+
+    small = np.repeat(sizes <= 64, sizes)
+    if small.any():
+        at = np.flatnonzero(small)
+        i, j = _within(sizes[sizes <= 64])
+        for k in range(0, len(i), 1_000_000):
+            # cut between rows would split a class's partners, which only means a proposal more
+            keep(at[i[k : k + 1_000_000]], at[j[k : k + 1_000_000]])
+    for head, size in zip(heads[sizes > 64], sizes[sizes > 64]):
+        i, j = np.triu_indices(int(size), 1)
+        keep(head + i, head + j)
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return np.unique(np.sort(pairs, 1), axis=0)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted batches as arrays that hold whole groups: a group cut by a batch's end waits for its rest."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        ends = pa.Table.from_batches(held).combine_chunks()
+        if ends.num_rows < 4096:
+            continue
+        group = _group_ids(ends, names)
+        cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0
+        if cut:
+            yield _arrays(ends.slice(0, cut), group[:cut])
+            held = ends.slice(cut).combine_chunks().to_batches()
+    if held:
+        rest = pa.Table.from_batches(held).combine_chunks()
+        yield _arrays(rest, _group_ids(rest, names))
+
 
-    pairs = np.unique(np.sort(pairs, 1), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _group_ids(table: pa.Table, names: list[str]) -> np.ndarray:
+    columns = [table.column(c).to_numpy() for c in names]
+    change = np.zeros(table.num_rows, bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change)
+
+
+def _arrays(table: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
+    packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+    return {"group": group, "packed": packed, "n": table.column("n").to_numpy().astype(float)} | {c: table.column(c).to_numpy() for c in ("class", "component", "side")}
 
 
 def candidates(members: DataFrame, classes: DataFrame, components: DataFrame, threshold: float, turn: int, complete: bool) -> DataFrame:
@@ -189,9 +242,14 @@ def candidates(members: DataFrame, classes: DataFrame, components: DataFrame, th
             F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
             F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("side"),
         )
-    schema = "a long, b long"
-    found = dealt.groupBy("bucket", "i", "j").applyInPandas(lambda x: _proposals(x, threshold, complete), schema)
-    return found.distinct()
+    group = ["bucket", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, group):
+            pairs = _proposals(rows, threshold, complete)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
