@@ -108,8 +108,9 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = stored(found.select("order", "mark", F.explode("windows").alias("w")).select("order", "mark", "w.hash", "w.at"), "line-windows")
     shared = each.groupBy("hash").agg(F.min("order").alias("owner"), F.max("order").alias("last")).where("owner < last")
     shared = stored(shared.select(F.col("hash").alias("shared_hash"), "owner"), "line-shared")
-    later = each.join(shared, (F.col("hash") == F.col("shared_hash")) & (F.col("order") > F.col("owner")))
+    # Merge joins at every size: what repeats grows with the input, so it's never sent to every executor.
+    later = each.join(shared.hint("merge"), (F.col("hash") == F.col("shared_hash")) & (F.col("order") > F.col("owner")))
     lost = stored(later.groupBy(F.col("order").alias("o"), F.col("mark").alias("m")).agg(F.collect_set("at").alias("lost")), "line-lost")
-    met = keyed.join(lost, (F.col("order") == F.col("o")) & (F.col("mark") == F.col("m")), "left")
+    met = keyed.join(lost.hint("merge"), (F.col("order") == F.col("o")) & (F.col("mark") == F.col("m")), "left")
     schema = "id long, text string, n_lines long, removed_lines long, spans array<struct<first: long, last: long>>"
     return met.select("id", "raw", "lost").mapInArrow(remove, schema).withColumnRenamed("id", id_col)
