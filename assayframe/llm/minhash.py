@@ -42,6 +42,8 @@ BLOCK, ROUNDS = 512, 2
 SLACK = 6.0
 #: Shingles whose permutations are computed together.
 STRIDE = 4096
+#: Bits of the sieve of ids, as a power of two: half a megabyte.
+SIEVE_BITS = 22
 _LARGEST = 2**63 - 1
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -224,10 +226,10 @@ def _arrays(table: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
 
 def candidates(members: DataFrame, classes: DataFrame, components: DataFrame, threshold: float, turn: int, complete: bool) -> DataFrame:
     """Pairs (a, b) to confirm: classes in one bucket and in different components."""
-    placed = members.join(components, "class")
+    placed = members.join(components.hint("merge"), "class")
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
     open_ = stored(open_.select(F.col("bucket").alias("open_bucket"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mh-open")
-    rows = placed.join(open_, F.col("bucket") == F.col("open_bucket")).drop("open_bucket").join(classes.select("class", "n", "packed"), "class")
+    rows = placed.join(open_.hint("merge"), F.col("bucket") == F.col("open_bucket")).drop("open_bucket").join(classes.select("class", "n", "packed").hint("merge"), "class")
     block = F.pmod(F.xxhash64("class", F.lit(turn)), F.col("blocks")).cast("int")
     keyed = rows.select("bucket", "class", "component", "n", "packed", "blocks", block.alias("block"))
     if not complete:
@@ -254,8 +256,8 @@ def candidates(members: DataFrame, classes: DataFrame, components: DataFrame, th
 
 def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Those pairs with denominator * intersection >= numerator * union; ``sets`` has class and hashes (sorted)."""
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
+    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,27 +271,45 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _bit(key) -> int:
+    """An id's bit in the sieve; ids are spread by a multiplication, null has its own."""
+    return 0 if key is None else (key * 0x9E3779B97F4A7C15 & 2**64 - 1) >> 64 - SIEVE_BITS
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """class and hashes of the classes in ``wanted`` (class, digest, id): computed from their representatives' texts."""
-    wanted = wanted.select(F.col("id").alias("__id"), F.col("class").alias("__class"), F.col("digest").alias("__digest"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw")).join(wanted, F.col("id").eqNullSafe(F.col("__id")))
+    """class and hashes of the classes in ``wanted`` (class, digest, id), computed anew from texts.
+
+    No text is shuffled: a sieve of representatives' ids, whose size is fixed,
+    goes to every worker, and only sets that pass it meet the wanted digests.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_bit(k) for k in batch.column(0).to_pylist()], pa.int64())], ["bit"])
+
+    spark = docs.sparkSession
+    sieve = np.zeros(1 << SIEVE_BITS, bool)
+    sieve[wanted.select("id").mapInArrow(bits, "bit long").distinct().toArrow().column("bit").to_numpy()] = True
+    shared = spark.sparkContext.broadcast(np.packbits(sieve))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        passed = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                keys, out = [], []
-                for key, digest, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                    own = shingles(words_of(raw)).tobytes()
-                    if xxh3_128_digest(own) == digest:  # an id may be repeated with another text
-                        keys.append(key)
-                        out.append(own)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["class", "hashes"])
+                out = []
+                for k, key in enumerate(batch.column(0).to_pylist()):
+                    bit = _bit(key)
+                    if passed[bit >> 3] >> (7 - (bit & 7)) & 1:
+                        out.append(shingles(words_of(batch.column(1)[k].as_py())).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(map(xxh3_128_digest, out), pa.binary()), pa.array(out, pa.binary())], ["digest", "hashes"])
 
-    found = rows.select(F.col("__class").alias("class"), "__digest", "raw").mapInArrow(run, "class long, hashes binary")
-    return found.dropDuplicates(["class"])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
+    found = rows.mapInArrow(run, "digest binary, hashes binary")
+    named = wanted.select("class", F.col("digest").alias("set_digest")).hint("merge")
+    return found.join(named, F.col("digest") == F.col("set_digest")).select("class", "hashes").dropDuplicates(["class"])
 
 
 def components_of(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -325,18 +345,18 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     # The smallest row number of a set names its class; its signature is that of any of its rows.
     named = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("order").alias("first_id"))
     named = stored(named, "mh-classes")
-    classes = signed.where("n_shingles > 0").join(named.select("class", F.col("first_id")), F.col("row") == F.col("class"))
+    classes = signed.where("n_shingles > 0").join(named.select("class", F.col("first_id")).hint("merge"), F.col("row") == F.col("class"))
     classes = stored(classes.select("class", "first_id", "id", "digest", F.col("n_shingles").alias("n"), "bands", "packed"), "mh-representatives")
     banded = classes.select("class", F.explode("bands").alias("bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("bucket").alias("shared_bucket")), "mh-shared")
-    members = stored(banded.join(shared, F.col("bucket") == F.col("shared_bucket")).select("class", "bucket"), "mh-members")
+    members = stored(banded.join(shared.hint("merge"), F.col("bucket") == F.col("shared_bucket")).select("class", "bucket"), "mh-members")
     slim = classes.select("class", "n", "packed")
     components = stored(classes.select("class", F.col("class").alias("component")), "mh-components")
     tested = links = None
     for turn in range(ROUNDS + 1):
         found = candidates(members, slim, components, threshold, turn, turn == ROUNDS)
         if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
+            found = found.join(tested.hint("merge"), ["a", "b"], "left_anti")
         found = stored(found, "mh-pairs")
         if found.isEmpty():
             continue
@@ -350,7 +370,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     firsts = stored(firsts, "mh-firsts")
     by_class = stored(components.join(firsts, "component").select("class", "least"), "mh-least")
     by_set = stored(named.join(by_class, "class").select(F.col("digest").alias("set_digest"), "least"), "mh-by-set")
-    told = signed.select("id", "order", "n_shingles", "digest").join(by_set, F.col("digest") == F.col("set_digest"), "left")
+    told = signed.select("id", "order", "n_shingles", "digest").join(by_set.hint("merge"), F.col("digest") == F.col("set_digest"), "left")
     least = F.coalesce("least", "order")
     return told.select(
         F.col("id").alias(id_col),
