@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null ids form no group of their own, so such rows stay unless a named one is near.
     """
     dropped = stored(minhash.near_duplicates(docs, 80, 100).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "near-dropped")
-    return docs.select(*COLUMNS).join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    return docs.select(*COLUMNS).join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
