@@ -1,0 +1,25 @@
+"""Psychometric item analysis of evaluation suites, as DataFrame operations."""
+
+from .operators.inference import backwards_p_values, benjamini_hochberg
+from .operators.items import item_moments, item_statistics, model_totals
+from .operators.suites import suite_summary
+from .plans.analysis import Report, analyze
+from .plans.rendering import to_html, to_text
+from .sources.ingest import items_from_dicts, items_from_jsonl, responses_from_records, responses_from_scores
+
+__all__ = [
+    "Report",
+    "analyze",
+    "backwards_p_values",
+    "benjamini_hochberg",
+    "item_moments",
+    "item_statistics",
+    "items_from_dicts",
+    "items_from_jsonl",
+    "model_totals",
+    "responses_from_records",
+    "responses_from_scores",
+    "suite_summary",
+    "to_html",
+    "to_text",
+]
