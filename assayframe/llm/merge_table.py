@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Entries of a worker's caches: chunks, and pairs of tokens.
-CHUNKS, PAIRS = 250_000, 500_000
+CHUNKS, PAIRS = 300_000, 500_000
+#: Mark of a prefix whose last token isn't known yet.
+UNSET = -(1 << 40)
 #: Characters of texts that are encoded before their rows are handed on.
 FLUSH_CHARS = 4_000_000
 
@@ -54,6 +56,7 @@ class MergeTable:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a space mark behind another character")
+        self.characters = {p for p in self.ids if len(p) == 1}
         self.score = [model.get_score(i) for i in range(size)]
         self.lengths = [len(p) for p in self.pieces]
         self.automaton = ahocorasick.Automaton()
@@ -68,6 +71,10 @@ class MergeTable:
         self.fits: dict[int, bool] = {}
         self.known: dict[str, tuple[array, str]] = {}
         self.surface = [p.replace(MARK, " ") for p in self.pieces]
+        #: What an id always gives, wherever it stands; None where neighbours or the place count.
+        self.plain: list[str | None] = list(self.surface)
+        for i in special:
+            self.plain[i] = chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else None
 
     def merges(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The symbols after all merges of a short text, and the two that merged last: the rule itself."""
@@ -106,6 +113,8 @@ class MergeTable:
 
     def _touching(self, a: int, b: int) -> bool:
         pieces, ids, score = self.pieces, self.ids, self.score
+        if not self.reachable(b):
+            return False
         if a in self.runs or b in self.runs:  # runs of marks share one score, so only the rule itself orders their merges
             return self.merges(pieces[a] + pieces[b])[0] == [pieces[a], pieces[b]]
         before, ties = float("-inf"), False  # a merge across the boundary counts if its score is above this (or equal, with ties)
@@ -123,38 +132,32 @@ class MergeTable:
 
     def table(self, text: str) -> list[int]:
         """Each prefix's last token, by length; characters that no piece has are -1 minus their code."""
-        last = [0] * (len(text) + 1)
-        seen = bytearray(len(text) + 1)
-        seen[0] = 1
-        done = 0
-        lengths, touching, fits = self.lengths, self.touching, self.fits
+        last = [UNSET] * (len(text) + 1)
+        if not self.characters.issuperset(text):
+            # a character without a piece is a token by itself, and nothing merges across it
+            for end, c in enumerate(text, 1):
+                if c not in self.characters:
+                    last[end] = -1 - ord(c)
+        lengths, fits, touching = self.lengths, self.fits.get, self.touching
         for at, token in self.automaton.iter(text):
-            end = at + 1
-            while done < at:
-                done += 1
-                if not seen[done]:
-                    self._alone(text, done, last, seen)
-            if seen[end]:
+            if last[at + 1] != UNSET:
                 continue
-            start = end - lengths[token]
-            if start:
-                p = last[start]
-                if p >= 0:
-                    ok = fits.get(p << 20 | token)
-                    if not (touching(p, token) if ok is None else ok):
-                        continue
-            if self.reachable(token):
-                last[end], seen[end] = token, 1
-        for end in range(done + 1, len(text) + 1):
-            if not seen[end]:
-                self._alone(text, end, last, seen)
+            start = at + 1 - lengths[token]
+            before = last[start]
+            if not start:
+                if not self.reachable(token):
+                    continue
+            elif before >= 0:
+                fit = fits(before << 20 | token)
+                if not (touching(before, token) if fit is None else fit):
+                    continue
+            elif before == UNSET or not self.reachable(token):
+                continue
+            last[at + 1] = token
+        if UNSET in last[1:]:
+            raise ValueError("no token ends a prefix: the model's merges are not consistent")
         return last
 
-    def _alone(self, text: str, end: int, last: list[int], seen: bytearray) -> None:
-        if text[end - 1] in self.ids:
-            raise ValueError(f"no token ends the prefix of {end} characters: the model's merges are not consistent")
-        last[end], seen[end] = -1 - ord(text[end - 1]), 1
-
     def chunk_ids(self, text: str) -> array:
         last, end, back = self.table(text), len(text), []
         while end:
@@ -167,6 +170,15 @@ class MergeTable:
                 end -= 1
         return array("i", reversed(back))
 
+    def longer(self, chunk: str) -> array | None:
+        """A chunk's ids from those of all but its last character, if that stays a token of its own there."""
+        before, token = self.known.get(chunk[:-1]), self.ids.get(chunk[-1])
+        if before and token is not None and before[-1] not in self.byte_of and self.touching(before[-1], token):
+            out = array("i", before)
+            out.append(token)
+            return out
+        return None
+
     def encode(self, text: str) -> array:
         ids = array("i")
         if not text:
@@ -175,16 +187,24 @@ class MergeTable:
         for chunk in self.chunk.findall(MARK + text.replace(" ", MARK)):
             found = known.get(chunk)
             if found is None:
-                if len(chunk) > 64:
-                    found = self.chunk_ids(chunk)
-                else:
+                found = self.longer(chunk) or self.chunk_ids(chunk)
+                if len(chunk) <= 64:
                     if len(known) >= CHUNKS:
                         known.clear()
-                    found = known[chunk] = self.chunk_ids(chunk)
+                    known[chunk] = found
             ids.extend(found)
         return ids
 
     def decode(self, ids) -> str:
+        if len(ids) and ids[0] not in self.byte_of:
+            try:
+                text = "".join([self.plain[i] for i in ids])
+            except TypeError:
+                return self._decode(ids)
+            return text[1:] if text.startswith(" ") else text
+        return self._decode(ids)
+
+    def _decode(self, ids) -> str:
         out: list[str] = []
         raw = bytearray()
         first = True
