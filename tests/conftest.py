@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, str(Path(__file__).parent)]
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 
@@ -40,13 +40,3 @@ def duck(sf_dir):
     for p in Path(sf_dir).glob("*.parquet"):
         con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
     return con
-
-
-def same_rows(frame, relation):
-    """Rows of a Spark result and of a DuckDB relation, in no order, columns by name."""
-    names = sorted(frame.columns)
-    assert names == sorted(relation.columns)
-    ours = sorted((tuple(r[c] for c in names) for r in frame.collect()), key=repr)
-    at = [relation.columns.index(c) for c in names]
-    theirs = sorted((tuple(r[k] for k in at) for r in relation.fetchall()), key=repr)
-    assert ours == theirs

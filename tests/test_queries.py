@@ -1,5 +1,5 @@
 import pytest
-from conftest import same_rows
+from comparing import same_rows
 
 from assayframe.plans.oracles import ORACLES
 from assayframe.plans.queries import QUERIES
