@@ -8,14 +8,14 @@ estimates similarity, and only pairs whose estimate reaches the threshold less
 six standard deviations are confirmed, exactly, on their full sets.
 
 Documents with equal sets are one class, and only classes are compared, so
-copies cost nothing.  A large bucket never becomes all its pairs: in each round
-a bucket is dealt into blocks of at most ``BLOCK`` classes, and each class
-proposes the best estimated partner outside its own component; confirmed links
-merge components, which ends most buckets.  Buckets that hold several components
-after the rounds are settled completely: every untested pair of classes in
-different components whose estimate reaches the bar is confirmed, block against
-block.  So no link is lost to a cap.  Groups are found by large-star and
-small-star steps over the confirmed links.
+copies cost nothing.  A bucket is dealt into blocks of bounded
+size.  Inside a block (first round), then between the blocks of buckets that
+still hold several components (second round), signatures are compared first;
+only classes with a likely partner then bring their full sets, and what a block
+returns is a forest of confirmed links, never its pairs.  A pair that shares
+several bands is compared in the first of them.  So every likely pair in
+different components is confirmed on full sets, and no link is lost to a cap.
+Groups are found by large-star and small-star steps over the links.
 
 Defined results: null or empty texts have no set and no link; with fewer than
 five words the whole sequence is the one shingle; null ids count as larger than
@@ -36,8 +36,10 @@ from .common import stored
 
 WORDS, BANDS, ROWS = 5, 25, 5
 BITS, CELLS = 2, 128
-#: Classes of a bucket that are compared in one task at a time, and rounds before the complete one.
-BLOCK, ROUNDS = 512, 2
+#: Classes, and shingles in all, that a block of a bucket holds on average at most.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Rows, and bytes of sets, of whole groups that a task holds at least before it works on them.
+HELD_ROWS, HELD_BYTES = 4096, 16_000_000
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 6.0
 #: Shingles whose permutations are computed together.
@@ -106,12 +108,12 @@ def bar(threshold: float) -> float:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_shingles, digest (of the set), bands (array of long) and packed (binary), a row for each row of ``docs``."""
+    """Returns id, n_shingles, digest (of the set), buckets (one for each band) and packed (binary), a row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        names = ["id", "n_shingles", "digest", "bands", "packed"]
+        names = ["id", "n_shingles", "digest", "buckets", "packed"]
         kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -131,7 +133,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, k) for v, k in zip(zip(*rows), kinds)]], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
-    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, bands array<long>, packed binary")
+    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, buckets array<long>, packed binary")
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,61 +156,102 @@ def _within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def _proposals(rows: dict[str, np.ndarray], threshold: float, complete: bool) -> np.ndarray:
-    """Candidate pairs of whole groups: the best partner of each class in another component, or all such."""
-    least = bar(threshold)
+def _likely(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of row pairs those to confirm (in other components, of like size, first met in this bucket, estimated near), and the estimates."""
+    component, n, side = rows["component"], rows["n"], rows["side"]
+    # sizes alone rule out a similarity above their ratio; sides 0 and 2 are the two blocks of a pair of blocks
+    ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & ((side[i] == 1) | (side[i] != side[j]))
+    i, j = i[ok], j[ok]
+    s = estimates(rows["packed"][i], rows["packed"][j])
+    good = s >= bar(threshold)
+    i, j, s = i[good], j[good], s[good]
+    bands = rows["bands"]
+    met = bands[i] == bands[j]
+    own = bands[i, met.argmax(1)] == rows["bucket"][i]
+    return i[own], j[own], s[own]
+
+
+def _pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs inside groups, a bounded number at a time."""
     heads = np.flatnonzero(np.concatenate([[True], rows["group"][1:] != rows["group"][:-1]]))
     sizes = np.diff(np.concatenate([heads, [len(rows["group"])]]))
-    packed, component, n, key, side = (rows[c] for c in ("packed", "component", "n", "class", "side"))
-    found = []
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        # sizes alone rule out a similarity above their ratio
-        ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
-        ok &= ~((side[i] == side[j]) & (side[i] != 1))
-        i, j = i[ok], j[ok]
-        s = estimates(packed[i], packed[j])
-        good = s >= least
-        i, j, s = i[good], j[good], s[good]
-        if not complete and len(i):
-            both, other, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s])
-            order = np.lexsort((other, -s, both))
-            first = order[np.concatenate([[True], both[order][1:] != both[order][:-1]])]
-            i, j = both[first], other[first]
-        found.append(np.stack([key[i], key[j]], 1))
-
-    small = np.repeat(sizes <= 64, sizes)
+    small = sizes <= 64
     if small.any():
-        at = np.flatnonzero(small)
-        i, j = _within(sizes[sizes <= 64])
-        for k in range(0, len(i), 1_000_000):
-            # cut between rows would split a class's partners, which only means a proposal more
-            keep(at[i[k : k + 1_000_000]], at[j[k : k + 1_000_000]])
-    for head, size in zip(heads[sizes > 64], sizes[sizes > 64]):
-        i, j = np.triu_indices(int(size), 1)
-        keep(head + i, head + j)
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return np.unique(np.sort(pairs, 1), axis=0)
+        at = np.flatnonzero(np.repeat(small, sizes))
+        i, j = _within(sizes[small])
+        for k in range(0, len(i), 500_000):
+            yield at[i[k : k + 500_000]], at[j[k : k + 500_000]]
+    for head, size in zip(heads[~small], sizes[~small]):
+        for first in range(0, int(size) - 1, 256):
+            i = np.repeat(np.arange(first, min(first + 256, size)), size)
+            j = np.tile(np.arange(size), len(i) // size)
+            yield head + i[j > i], head + j[j > i]
+
+
+def _forest(rows: dict[str, np.ndarray], threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Confirmed links of one group (all its rows with sets) that join what they can, no two in a ring."""
+    num, den = threshold
+    sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+    sizes = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    codes = [flat[e - n : e] for e, n in zip(ends, sizes)]
+    here = np.zeros(int(flat.max()) + 1, bool)
+    found = [x for x in (_likely(rows, i, j, num / den) for i, j in _pairs(rows)) if len(x[0])]
+    if not found:
+        return []
+    i, j, s = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((-s, i))
+    i, j = i[order], j[order]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]]))
+    for a, b in zip(cuts, cuts[1:]):
+        me, others = int(i[a]), j[a:b].tolist()
+        here[codes[me]] = True
+        # first the best of each component that is known here, then the rest of those that it didn't join
+        best: dict[int, int] = {}
+        for k in others:
+            best.setdefault(find(int(rows["component"][k])), k)
+        for batch in (list(best.values()), others):
+            batch = [k for k in batch if find(int(rows["component"][k])) != find(int(rows["component"][me]))]
+            if not batch:
+                continue
+            met = np.add.reduceat(here[np.concatenate([codes[k] for k in batch])].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[batch])[:-1]]))
+            for k, m in zip(batch, met):
+                x, y = find(int(rows["component"][k])), find(int(rows["component"][me]))
+                if x != y and den * int(m) >= num * int(sizes[k] + sizes[me] - m):
+                    root[x] = y
+                    links.append((int(rows["class"][me]), int(rows["class"][k])))
+        here[codes[me]] = False
+    return links
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Sorted batches as arrays that hold whole groups: a group cut by a batch's end waits for its rest."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        ends = pa.Table.from_batches(held).combine_chunks()
-        if ends.num_rows < 4096:
-            continue
-        group = _group_ids(ends, names)
-        cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0
-        if cut:
-            yield _arrays(ends.slice(0, cut), group[:cut])
-            held = ends.slice(cut).combine_chunks().to_batches()
+    for whole in batches:
+        for at in range(0, whole.num_rows, HELD_ROWS):
+            held.append(whole.slice(at, HELD_ROWS))
+            if sum(x.num_rows for x in held) < HELD_ROWS and sum(x.nbytes for x in held) < HELD_BYTES:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            group = _group_ids(table, names)
+            cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0
+            if cut:
+                yield _arrays(table.slice(0, cut), group[:cut])
+                held = table.slice(cut).combine_chunks().to_batches()
     if held:
         rest = pa.Table.from_batches(held).combine_chunks()
-        yield _arrays(rest, _group_ids(rest, names))
+        if rest.num_rows:
+            yield _arrays(rest, _group_ids(rest, names))
 
 
 def _group_ids(table: pa.Table, names: list[str]) -> np.ndarray:
@@ -220,55 +263,69 @@ def _group_ids(table: pa.Table, names: list[str]) -> np.ndarray:
 
 
 def _arrays(table: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
-    packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-    return {"group": group, "packed": packed, "n": table.column("n").to_numpy().astype(float)} | {c: table.column(c).to_numpy() for c in ("class", "component", "side")}
-
-
-def candidates(members: DataFrame, classes: DataFrame, components: DataFrame, threshold: float, turn: int, complete: bool) -> DataFrame:
-    """Pairs (a, b) to confirm: classes in one bucket and in different components."""
-    placed = members.join(components.hint("merge"), "class")
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    open_ = stored(open_.select(F.col("bucket").alias("open_bucket"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mh-open")
-    rows = placed.join(open_.hint("merge"), F.col("bucket") == F.col("open_bucket")).drop("open_bucket").join(classes.select("class", "n", "packed").hint("merge"), "class")
-    block = F.pmod(F.xxhash64("class", F.lit(turn)), F.col("blocks")).cast("int")
-    keyed = rows.select("bucket", "class", "component", "n", "packed", "blocks", block.alias("block"))
-    if not complete:
-        # side 1: both a left and a right class of its block
-        dealt = keyed.select("bucket", "class", "component", "n", "packed", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
-    else:
-        # block i against block j for i <= j; a class is left in (block, j) and right in (i, block)
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        spread = keyed.select("*", other)
-        dealt = spread.select(
-            "bucket", "class", "component", "n", "packed",
-            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("side"),
-        )
-    group = ["bucket", "i", "j"]
+    wide = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64).reshape(table.num_rows, -1)
+    bands = np.concatenate([x.flatten().to_numpy() for x in table.column("buckets").chunks]).reshape(table.num_rows, -1)
+    out = {"group": group, "packed": wide("packed"), "bands": bands, "n": table.column("n").to_numpy().astype(float)}
+    out |= {c: table.column(c).to_numpy() for c in ("bucket", "i", "j", "class", "component", "side")}
+    if "hashes" in table.column_names:
+        out["hashes"] = table.column("hashes").to_pylist()
+    return out
+
+
+GROUP = ["bucket", "i", "j"]
+DEALT = "bucket long, i int, j int, class long, component long, side int"
+
+
+def blocks(members: DataFrame, classes: DataFrame, components: DataFrame, across: bool) -> DataFrame:
+    """Members of buckets that hold several components, dealt into blocks (or, across, into pairs of blocks).
+
+    A bucket of S blocks sends a class to one block in the first round and to
+    S - 1 pairs of blocks in the second.
+    """
+    placed = members.join(components.hint("merge"), "class").join(classes.select("class", "n").hint("merge"), "class")
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all_n")).where("lo < hi")
+    count = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all_n") / BLOCK_SHINGLES)).cast("int")
+    open_ = stored(open_.select(F.col("bucket").alias("open_bucket"), F.least(count, F.col("size").cast("int")).alias("blocks")).where("blocks > 1" if across else "blocks > 0"), "mh-open")
+    rows = placed.select("class", "bucket", "component").join(open_.hint("merge"), F.col("bucket") == F.col("open_bucket"))
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    keyed = rows.select("bucket", "class", "component", "blocks", block.alias("block"))
+    if not across:
+        return keyed.select("bucket", F.col("block").alias("i"), F.col("block").alias("j"), "class", "component", F.lit(1).alias("side"))
+    spread = keyed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> block")
+    side = F.when(F.col("block") < F.col("other"), 0).otherwise(2)
+    return spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "component", side.alias("side"))
+
+
+def likely_members(dealt: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``dealt`` whose class has a likely partner in its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, group):
-            pairs = _proposals(rows, threshold, complete)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        for rows in _grouped(batches, GROUP):
+            likely = np.zeros(len(rows["class"]), bool)
+            for i, j in _pairs(rows):
+                i, j, _ = _likely(rows, i, j, threshold)
+                likely[i] = likely[j] = True
+            at = np.flatnonzero(likely)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c][at]) for c in (*GROUP, "class", "component", "side")], [*GROUP, "class", "component", "side"])
 
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
+    told = dealt.join(classes.select("class", "n", "packed", "buckets").hint("merge"), "class")
+    return told.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, DEALT)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Those pairs with denominator * intersection >= numerator * union; ``sets`` has class and hashes (sorted)."""
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")).hint("merge"), "a")
-    both = left.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")).hint("merge"), "b")
+def confirmed_links(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) with den * intersection >= num * union, a forest in each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                met = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(denominator * met >= numerator * (len(x) + len(y) - met))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for rows in _grouped(batches, GROUP):
+            links: list[tuple[int, int]] = []
+            heads = np.flatnonzero(np.concatenate([[True], rows["group"][1:] != rows["group"][:-1], [True]]))
+            for a, b in zip(heads, heads[1:]):
+                links += _forest({c: v[a:b] for c, v in rows.items()}, threshold)
+            ab = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    told = members.join(classes.select("class", "n", "packed", "buckets").hint("merge"), "class").join(sets.hint("merge"), "class")
+    return told.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a long, b long").distinct()
 
 
 def _bit(key) -> int:
@@ -346,25 +403,21 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     named = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("order").alias("first_id"))
     named = stored(named, "mh-classes")
     classes = signed.where("n_shingles > 0").join(named.select("class", F.col("first_id")).hint("merge"), F.col("row") == F.col("class"))
-    classes = stored(classes.select("class", "first_id", "id", "digest", F.col("n_shingles").alias("n"), "bands", "packed"), "mh-representatives")
-    banded = classes.select("class", F.explode("bands").alias("bucket"))
+    classes = stored(classes.select("class", "first_id", "id", "digest", F.col("n_shingles").alias("n"), "buckets", "packed"), "mh-representatives")
+    banded = classes.select("class", F.explode("buckets").alias("bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("bucket").alias("shared_bucket")), "mh-shared")
     members = stored(banded.join(shared.hint("merge"), F.col("bucket") == F.col("shared_bucket")).select("class", "bucket"), "mh-members")
-    slim = classes.select("class", "n", "packed")
     components = stored(classes.select("class", F.col("class").alias("component")), "mh-components")
-    tested = links = None
-    for turn in range(ROUNDS + 1):
-        found = candidates(members, slim, components, threshold, turn, turn == ROUNDS)
-        if tested is not None:
-            found = found.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        found = stored(found, "mh-pairs")
-        if found.isEmpty():
+    links = None
+    for across in (False, True):
+        dealt = stored(blocks(members, classes, components, across), "mh-dealt")
+        likely = stored(likely_members(dealt, classes, threshold), "mh-likely")
+        if likely.isEmpty():
             continue
-        ids = stored(found.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "mh-wanted")
-        sets = stored(class_sets(docs, classes.select("class", "digest", "id").join(ids, "class"), text_col, id_col), "mh-sets")
-        good = stored(confirm(found, sets, numerator, denominator), "mh-links")
-        tested = found if tested is None else stored(tested.unionByName(found), "mh-tested")
-        links = good if links is None else stored(links.unionByName(good), "mh-all-links")
+        wanted = classes.select("class", "digest", "id").join(likely.select("class").distinct().hint("merge"), "class")
+        sets = stored(class_sets(docs, stored(wanted, "mh-wanted"), text_col, id_col), "mh-sets")
+        found = stored(confirmed_links(likely, classes, sets, (numerator, denominator)), "mh-links")
+        links = found if links is None else links.unionByName(found)
         components = stored(components_of(links, classes), "mh-components")
     firsts = classes.select("class", "first_id").join(components, "class").groupBy("component").agg(F.min("first_id").alias("least"))
     firsts = stored(firsts, "mh-firsts")
