@@ -172,6 +172,9 @@ class Model:
     free: float
     stop: float
     hot_from: int  # words that occur so often in all texts are sent to every worker
+    model_path: str
+    pieces: np.ndarray  # log probability of each piece on a path, the chance of going on included
+    shift: float
 
     def base(self, c):
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
@@ -268,7 +271,7 @@ def fit(docs: DataFrame, train: Column, model_path: str, text_col: str = "text")
     stop = min(max(types / pieces, 1e-3), 0.999) if pieces else 0.5
     given = logq + math.log1p(-stop)  # a path of k pieces has the factor (1 - stop)^(k - 1) * stop
     table = stored(_with_lattices(words, model_path, given, -math.log1p(-stop)), "lm-lattices")
-    return Model(table, seen + ends, types + (ends > 0), ends, discount, free, stop, hot_from)
+    return Model(table, seen + ends, types + (ends > 0), ends, discount, free, stop, hot_from, model_path, given, -math.log1p(-stop))
 
 
 def expectation(words: DataFrame, model_path: str, start: np.ndarray) -> tuple[np.ndarray, float]:
@@ -328,8 +331,12 @@ class Hot:
         return cls.held[name]
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_tokens, n_known, train_tokens, base_score and score (both log10), a row for each row of ``docs``."""
+def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", unseen: bool = True) -> DataFrame:
+    """Returns id, n_tokens, n_known, train_tokens, base_score and score (both log10), a row for each row of ``docs``.
+
+    With ``unseen``, words that the model's table lacks get their lattices here;
+    it isn't needed for texts that the model was fitted on (held out or not).
+    """
     import uuid
 
     spark = docs.sparkSession
@@ -366,7 +373,11 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     schema = "id long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, times: long>>"
     partly = stored(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-partly")
     # A rare word is rare in all texts together, so the join has no hot key.
-    rare = partly.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(model.words, "word")
+    rare, words = partly.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times"), model.words
+    if unseen:
+        new = rare.select("word").distinct().join(words, "word", "left_anti").select("word", F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("n"))
+        words = words.unionByName(_with_lattices(new, model.model_path, model.pieces, model.shift))
+    rare = rare.join(words, "word")
     added = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * model.base_column(F.col("c"))).alias("more_base"),

@@ -36,7 +36,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str, model_path: str | None = No
     docs = documents(spark, sf_dir)
     model = lattice_lm.fit(docs, pairwise_quality.id_remainder(F.col("doc_id"), 5) != 1, model_path or piece_model())
     held_out = (pairwise_quality.id_remainder(F.col("doc_id"), 5) == 1).alias("held_out")
-    return lattice_lm.score_texts(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lattice_lm.score_texts(docs, model, unseen=False).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
