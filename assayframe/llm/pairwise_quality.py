@@ -129,7 +129,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample:
 
     got = rows.mapInArrow(run, "id long, label int, x array<double>").groupBy("id").agg(F.max("label").alias("label"), F.max("x").alias("x")).toArrow()
     order = np.argsort(got.column("id").to_numpy())
-    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(len(order), -1)
+    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(len(order), len(features(b"")))
     return x[order], got.column("label").to_numpy()[order] == 1
 
 
