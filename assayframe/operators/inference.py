@@ -32,15 +32,15 @@ def normal_tail() -> Column:
     return normal_cdf(z)
 
 
-def backwards_p_values(responses: DataFrame, totals: DataFrame, moments: DataFrame, by: list[str] = SUITE) -> DataFrame:
+def backwards_p_values(responses: DataFrame, ranked: DataFrame, moments: DataFrame, by: list[str] = SUITE) -> DataFrame:
     """Moments with p_method and backwards_p (null where undefined).
 
     Vectors of rest scores are gathered for items with an exact tail only; their
     length is bounded by the exact tail's budget.
     """
-    told = moments.withColumn("p_method", tail_method()).persist()
+    told = moments.withColumn("p_method", tail_method())
     exact = told.where("p_method = 'exact'").select(*by, "item_idx", F.col("k").alias("passes"), (F.col("stx") - F.col("k")).alias("observed"))
-    cells = responses.select(*by, "model_idx", "item_idx", "passed").join(sized(exact), [*by, "item_idx"]).join(sized(totals.select(*by, "model_idx", "total")), [*by, "model_idx"])
+    cells = responses.select(*by, "model_idx", "item_idx", "passed").join(sized(exact), [*by, "item_idx"]).join(ranked.select(*by, "model_idx", "total"), [*by, "model_idx"])
     rest = cells.groupBy(*by, "item_idx", "passes", "observed").agg(F.collect_list(F.col("total") - F.col("passed")).alias("rest"))
     tails = rest.select(*by, "item_idx", exact_tail("rest", "passes", "observed").alias("exact_p"))
     normal = F.when(F.col("p_method") == "normal", normal_tail())

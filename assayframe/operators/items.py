@@ -45,13 +45,13 @@ def ranked_totals(totals: DataFrame, by: list[str] = SUITE, group_fraction: floa
     )
 
 
-def item_moments(responses: DataFrame, totals: DataFrame | None = None, by: list[str] = SUITE, group_fraction: float = GROUP_FRACTION) -> DataFrame:
-    totals = model_totals(responses, by) if totals is None else totals
-    ranked = sized(ranked_totals(totals, by, group_fraction).drop("model"))
+def item_moments(responses: DataFrame, ranked: DataFrame | None = None, by: list[str] = SUITE, group_fraction: float = GROUP_FRACTION) -> DataFrame:
+    """Counts and sums of each item; ``ranked`` are its suite's ranked totals, if they are at hand."""
+    ranked = sized(ranked_totals(model_totals(responses, by), by, group_fraction)) if ranked is None else ranked
     x, t = F.col("passed").cast("long"), F.col("total")
     return (
         responses.select(*by, "model_idx", "item_idx", "item_id", "passed")
-        .join(ranked, [*by, "model_idx"])
+        .join(ranked.drop("model"), [*by, "model_idx"])
         .groupBy(*by, "item_idx", "item_id")
         .agg(
             F.count(F.lit(1)).alias("n"),

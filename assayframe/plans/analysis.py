@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import check_rate, detectable_with, deviate
 from ..operators import suites
 from ..operators.inference import backwards_p_values
-from ..operators.items import item_moments, item_statistics, model_totals
+from ..operators.items import item_moments, item_statistics, model_totals, ranked_totals, sized
 from ..schema import SUITE
 from ..sources.ingest import check_analysable
 
@@ -28,9 +28,10 @@ class Analysis:
 def plan(responses: DataFrame, fdr: float = 0.05, by: list[str] = SUITE) -> Analysis:
     """All tables, for any number of suites (or cohorts), without checks."""
     check_rate(fdr)
-    totals = model_totals(responses, by)
-    moments = item_moments(responses, totals, by).persist()
-    tested = backwards_p_values(responses, totals, item_statistics(moments), by)
+    ranked = sized(ranked_totals(model_totals(responses, by), by))
+    totals = ranked.select(*by, "model_idx", "model", "total")
+    moments = item_moments(responses, ranked, by).persist()
+    tested = backwards_p_values(responses, ranked, item_statistics(moments), by)
     items = suites.judged_items(tested, fdr, by)
     return Analysis(totals, moments, items, suites.suite_summary(items, moments, totals, by))
 

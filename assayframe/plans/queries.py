@@ -68,8 +68,7 @@ def discrimination_index(spark, sf_dir):
 
 def _reliability(spark, sf_dir):
     resp = _nation(spark, sf_dir)
-    totals = it.model_totals(resp)
-    return suites.reliability(it.item_moments(resp, totals), totals)
+    return suites.reliability(it.item_moments(resp), it.model_totals(resp))
 
 
 def cronbach_alpha(spark, sf_dir):
