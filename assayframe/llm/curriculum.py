@@ -138,22 +138,23 @@ def mix(
     fits: list[DataFrame] = []
     left = placed.groupBy("source").agg(F.max("part").alias("left") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0)))
     left = left.toDF("source", "left")
-    for _ in range(FIT_ROUNDS if few else 0):
+    near = F.broadcast if few else (lambda df: df)  # a row a source
+    for _ in range(FIT_ROUNDS):
         left = stored(left, "mix-left")
         candidates = _with_sources(placed.where(~F.col("extra") & (F.col("size") > 0)), left, few).where(F.col("size") <= F.col("left"))
         for done in fits:
-            candidates = candidates.join(F.broadcast(done), _same_row(), "left_anti")
+            candidates = candidates.join(near(done), _same_row(), "left_anti")
         best = stored(
             candidates.groupBy("source").agg(F.max(F.struct("size", "turn", "doc_id")).alias("b")).select(F.col("source").alias("__source"), F.col("b.size").alias("__size"), F.col("b.turn").alias("__turn"), F.col("b.doc_id").alias("__id")),
             "mix-fits",
         )
         fits.append(best)
-        left = left.join(F.broadcast(best), F.col("source").eqNullSafe(F.col("__source")), "left").select("source", (F.col("left") - F.coalesce("__size", F.lit(0))).alias("left"))
+        left = left.join(near(best), F.col("source").eqNullSafe(F.col("__source")), "left").select("source", (F.col("left") - F.coalesce("__size", F.lit(0))).alias("left"))
     if fits:
         added = fits[0]
         for x in fits[1:]:
             added = added.unionByName(x)
-        placed = placed.join(F.broadcast(added.withColumn("__fits", F.lit(True))), _same_row(), "left").withColumn("extra", F.col("extra") | F.coalesce("__fits", F.lit(False))).drop(*added.columns, "__fits")
+        placed = placed.join(near(added.withColumn("__fits", F.lit(True))), _same_row(), "left").withColumn("extra", F.col("extra") | F.coalesce("__fits", F.lit(False))).drop(*added.columns, "__fits")
     copies = F.when(F.col("size") > 0, F.col("rounds") + F.col("extra").cast("int")).otherwise(F.lit(0))
     placed = placed.withColumn("copies", copies)
 
