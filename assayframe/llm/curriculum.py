@@ -4,7 +4,8 @@ Token targets come from weights by water-filling: sources share the budget by
 weight, none gets more than ``cap`` times its size, and what a source can't take
 is shared again by weight.  Which documents are taken follows from prefix sums
 of sizes in a pseudo-random order that depends on the ids alone, so reruns
-agree; a source's last part is filled with the documents that fit best.
+agree; a source's last part is filled with the documents that fit best, the
+largest first, until no untaken document fits.
 
 A source's weight over training time is a schedule of (time, weight) knots,
 linear in between.  Its integral, scaled to the source's target, is the source's
@@ -19,8 +20,9 @@ Everything is DataFrame expressions.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are never taken; rows that repeat an id are
-documents of their own, in the order of their sizes, but rows repeated in id,
-source and size share one fate in the best-fit step.  Empty table, empty result.
+documents of their own, in the order of their sizes.  Documents that fill the
+last part keep their place in the source's order of words, which is the end where
+it lies beyond the target.  Empty table, empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +34,6 @@ from .common import WORD, stored
 
 #: Rows that a bucket of the hottest source may have to sort, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
-#: Rounds in which each source's remainder gets the largest document that still fits.
-FIT_ROUNDS = 2
 #: Sources whose few columns may be sent to every executor.
 BROADCAST_SOURCES = 10_000
 #: The curriculum of the registered query: schedules that sources follow in turn.
@@ -130,31 +130,27 @@ def mix(
     within = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("through", F.sum("size").over(within))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("__bucket"))).drop("__source", "__bucket")
-    placed = placed.withColumn("through", F.col("through") + F.col("start")).drop("start", "bucket")
+    placed = placed.withColumn("through", F.col("through") + F.col("start")).drop("start")
     placed = _with_sources(placed, goals, few).withColumn("extra", (F.col("size") > 0) & (F.col("through") <= F.col("part")))
     placed = stored(placed.drop("pieces", "weight", "ordinal"), "mix-placed")
 
-    # The part of each source that no whole document has filled yet gets the largest that fits.
-    fits: list[DataFrame] = []
-    left = placed.groupBy("source").agg(F.max("part").alias("left") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0)))
-    left = left.toDF("source", "left")
-    near = F.broadcast if few else (lambda df: df)  # a row a source
-    for _ in range(FIT_ROUNDS):
-        left = stored(left, "mix-left")
-        candidates = _with_sources(placed.where(~F.col("extra") & (F.col("size") > 0)), left, few).where(F.col("size") <= F.col("left"))
-        for done in fits:
-            candidates = candidates.join(near(done), _same_row(), "left_anti")
-        best = stored(
-            candidates.groupBy("source").agg(F.max(F.struct("size", "turn", "doc_id")).alias("b")).select(F.col("source").alias("__source"), F.col("b.size").alias("__size"), F.col("b.turn").alias("__turn"), F.col("b.doc_id").alias("__id")),
-            "mix-fits",
-        )
-        fits.append(best)
-        left = left.join(near(best), F.col("source").eqNullSafe(F.col("__source")), "left").select("source", (F.col("left") - F.coalesce("__size", F.lit(0))).alias("left"))
-    if fits:
-        added = fits[0]
-        for x in fits[1:]:
-            added = added.unionByName(x)
-        placed = placed.join(near(added.withColumn("__fits", F.lit(True))), _same_row(), "left").withColumn("extra", F.col("extra") | F.coalesce("__fits", F.lit(False))).drop(*added.columns, "__fits")
+    # The part of each source that no whole document has filled yet gets the largest that fits, until none does.
+    left = placed.groupBy("source").agg((F.max("part") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("left"))
+    left = stored(left, "mix-left")
+    fits = stored(_fits(_with_sources(placed.where(~F.col("extra") & (F.col("size") > 0)), left, few)), "mix-fits")
+    right = fits.select(F.col("source").alias("__source"), F.col("size").alias("__size"), "fit")
+    same = F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & ~F.col("extra")
+    placed = placed.join(F.broadcast(right) if few else right, same, "left").drop("__source", "__size")
+    # Of documents of one size the last in order come first; counted by bucket, as above.
+    open_ = placed.where("fit IS NOT NULL")
+    sized = ["source", "size"]
+    below = Window.partitionBy(*sized).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = open_.groupBy(*sized, "bucket").agg(F.count(F.lit(1)).alias("in_bucket")).withColumn("before", F.coalesce(F.sum("in_bucket").over(below), F.lit(0)))
+    counts = stored(counts.select(F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("bucket").alias("__bucket"), "before"), "mix-counts")
+    rank = F.row_number().over(Window.partitionBy(*sized, "bucket").orderBy(F.col("turn").desc(), F.col("doc_id").desc()))
+    ranked = open_.withColumn("rank", rank).join(counts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("bucket") == F.col("__bucket")))
+    filled = ranked.withColumn("extra", F.col("rank") + F.col("before") <= F.col("fit"))
+    placed = placed.where("fit IS NULL").unionByName(filled.select(*placed.columns))
     copies = F.when(F.col("size") > 0, F.col("rounds") + F.col("extra").cast("int")).otherwise(F.lit(0))
     placed = placed.withColumn("copies", copies)
 
@@ -168,13 +164,22 @@ def mix(
     )
 
 
-def _same_row() -> Column:
-    return (
-        F.col("source").eqNullSafe(F.col("__source"))
-        & F.col("doc_id").eqNullSafe(F.col("__id"))
-        & (F.col("size") == F.col("__size"))
-        & (F.col("turn") == F.col("__turn"))
-    )
+def _fits(candidates: DataFrame) -> DataFrame:
+    """How many (``fit``) of the untaken documents of each source and size a remainder ``left`` gets.
+
+    Sizes are met once, in falling order: what doesn't fit by its turn never will,
+    for what is left only shrinks.  A source has one entry a size, not one a document.
+    """
+    sizes = candidates.where(F.col("size") <= F.col("left")).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("left"))
+    sizes = sizes.groupBy("source").agg(F.max("left").alias("left"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+
+    def fill(done: Column, x: Column) -> Column:
+        fit = F.greatest(F.least(x["n"], F.floor(done["left"] / x["size"])), F.lit(0)).cast("long")
+        more = F.array(F.struct(x["size"].alias("size"), fit.alias("fit")))
+        return F.struct((done["left"] - fit * x["size"]).alias("left"), F.when(fit > 0, F.concat(done["fits"], more)).otherwise(done["fits"]).alias("fits"))
+
+    none = F.struct(F.col("left").cast("double").alias("left"), F.array().cast("array<struct<size: bigint, fit: bigint>>").alias("fits"))
+    return sizes.select("source", F.explode(F.aggregate("sizes", none, fill, lambda done: done["fits"])).alias("f")).select("source", "f.size", "f.fit")
 
 
 def in_training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

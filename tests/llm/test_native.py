@@ -103,6 +103,21 @@ def test_mix_meets_its_targets(spark):
     assert {(r["doc_id"], r["taken"]) for r in got} == {(r["doc_id"], r["taken"]) for r in curriculum.mix(docs.repartition(5), MIX_WEIGHTS, schedules=MIX_SCHEDULES).collect()}
 
 
+def test_mix_fills_behind_a_long_document(spark):
+    # one document of a third of its source stands in the way of what follows it; ids and sources are null at times
+    key = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    order = sorted(range(1500), key=key)
+    rows = [(k, "w " * (20_000 if k == order[500] else 20 + k % 3), "s") for k in order] + [(None, "w " * (1 + k % 40), None) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = curriculum.mix(docs, [1.0, 1.0], budget_ratio=0.4, cap=0.5).collect()
+    assert len(got) == len(rows)
+    for s in ("s", None):
+        mine = [r for r in got if r["source"] == s]
+        left = mine[0]["target"] - sum(r["taken"] for r in mine)
+        assert left >= 0 and all(r["copies"] for r in mine if r["size"] <= left)
+        assert any(not r["copies"] for r in mine)
+
+
 def test_positions_follow_the_schedule(spark):
     docs = spark.createDataFrame([(k, "w w", "s") for k in range(1000)], "doc_id long, text string, source string")
     got = curriculum.mix(docs, [1.0], budget_ratio=1.0, schedules=[curriculum.EARLY]).collect()
