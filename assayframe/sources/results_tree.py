@@ -59,7 +59,7 @@ def ghost_items(items: DataFrame, totals: DataFrame, expected: int | None = None
         raise ValueError(f"{odd['repo']}: more resolved than exist")
     number = F.explode(F.sequence(F.lit(1), F.col("missing").cast("int"))).alias("k")
     spread = both.where("missing > 0").select("repo", number)
-    return spread.select("repo", F.concat(F.replace("repo", F.lit("/"), F.lit("__")), F.lit("__UNSOLVED-"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("item_id"))
+    return spread.select("repo", F.concat(F.replace("repo", F.lit("/"), F.lit("__")), F.lit("__UNSOLVED-"), F.format_string("%02d", "k")).alias("item_id"))
 
 
 def matrix(submissions: DataFrame, items: DataFrame, found: DataFrame, suite_id: str = "suite") -> DataFrame:

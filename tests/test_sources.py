@@ -96,3 +96,9 @@ def test_results_tree(spark, tmp_path):
     assert [(r["model"], r["item_id"], r["passed"]) for r in got] == [("k", "a", 0), ("k", "b", 1), ("m", "a", 1), ("m", "b", 0)]
     tree.write_matrix(grid, str(tmp_path / "out"))
     assert {r["model"]: r["scores"] for r in spark.read.json(str(tmp_path / "out")).collect()}["s2"] == [0, 1, 1, 0]
+
+
+def test_more_than_99_missing_items(spark):
+    none = spark.createDataFrame([], "item_id string")
+    ghosts = tree.ghost_items(none, spark.createDataFrame([("x/y", 120)], "repo string, total int"))
+    assert sorted(r["item_id"] for r in ghosts.collect()) == sorted(f"x__y__UNSOLVED-{k:02d}" for k in range(1, 121))
