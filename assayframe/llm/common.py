@@ -52,5 +52,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def row_mark(text: Column, *keys: Column) -> Column:
+    """16 bytes that rows share exactly if their text and their keys are equal; null is a key of its own, a null text counts as empty."""
+    named = F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    return F.unhex(F.md5(F.concat(named, F.coalesce(text.cast("string"), F.lit(""))).cast("binary")))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_mark, stored
 
 WORDS, BANDS, ROWS = 5, 25, 5
 BITS, CELLS = 2, 128
@@ -107,13 +107,15 @@ def bar(threshold: float) -> float:
     return threshold - SLACK * np.sqrt(match * (1 - match) / CELLS) / (1 - chance)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_shingles, digest (of the set), buckets (one for each band) and packed (binary), a row for each row of ``docs``."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """Returns id, n_shingles, digest (of the set), buckets (one for each band) and packed (binary), a row for each row of ``docs``; with ``marked`` also its ``mark``."""
+
+    also = ["mark"] if marked else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        names = ["id", "n_shingles", "digest", "buckets", "packed"]
+        names = ["id", "n_shingles", "digest", "buckets", "packed", *also]
         kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -130,10 +132,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     for k in range(ROWS):
                         band = _mix(band * np.uint64(0x9E3779B97F4A7C15) + keys[:, k])
                     rows.append((len(own), xxh3_128_digest(own.tobytes()), band.view(np.int64), pack(least).tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, k) for v, k in zip(zip(*rows), kinds)]], names)
+                marks = [batch.column(2)] if marked else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, k) for v, k in zip(zip(*rows), kinds)], *marks], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
-    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, buckets array<long>, packed binary")
+    key = F.col(id_col).cast("long")
+    rows = docs.select(key.alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"), *[row_mark(F.col(text_col), key).alias(x) for x in also])
+    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, buckets array<long>, packed binary" + "".join(f", {x} binary" for x in also))
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -395,10 +399,14 @@ def components_of(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("class").join(roots, F.col("class") == F.col("__u"), "left").select("class", F.coalesce("root", "class").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_shingles, component_id (the smallest id that links reach) and kept, a row for each row of ``docs``."""
-    threshold = numerator / denominator
-    signed = stored(signatures(docs, id_col, text_col).withColumn("order", F.coalesce("id", F.lit(_LARGEST))).withColumn("row", F.monotonically_increasing_id()), "mh-signed")
+def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """Returns id, n_shingles, component_id (the smallest id that links reach) and kept, a row for each row of ``docs``.
+
+    With ``marked`` also ``mark``, the ``row_mark`` of text and id: rows that
+    share it have one fate, rows that only share an id need not.
+    """
+    threshold, also = numerator / denominator, ["mark"] if marked else []
+    signed = stored(signatures(docs, id_col, text_col, marked).withColumn("order", F.coalesce("id", F.lit(_LARGEST))).withColumn("row", F.monotonically_increasing_id()), "mh-signed")
     # The smallest row number of a set names its class; its signature is that of any of its rows.
     named = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("order").alias("first_id"))
     named = stored(named, "mh-classes")
@@ -423,11 +431,12 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     firsts = stored(firsts, "mh-firsts")
     by_class = stored(components.join(firsts, "component").select("class", "least"), "mh-least")
     by_set = stored(named.join(by_class, "class").select(F.col("digest").alias("set_digest"), "least"), "mh-by-set")
-    told = signed.select("id", "order", "n_shingles", "digest").join(by_set.hint("merge"), F.col("digest") == F.col("set_digest"), "left")
+    told = signed.select("id", "order", "n_shingles", "digest", *also).join(by_set.hint("merge"), F.col("digest") == F.col("set_digest"), "left")
     least = F.coalesce("least", "order")
     return told.select(
         F.col("id").alias(id_col),
         "n_shingles",
         F.when(least == F.lit(_LARGEST), F.lit(None)).otherwise(least).alias("component_id"),
         (F.col("order") == least).alias("kept"),
+        *also,
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.llm import curriculum, exact_index, merge_table, minhash, pairwise_quality
-from assayframe.llm.common import documents, stored
+from assayframe.llm.common import documents, row_mark, stored
 from assayframe.llm.queries import MIX_SCHEDULES, MIX_WEIGHTS, piece_model, quality_ranking
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,9 +31,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (similarity of 0.8 or more) the row with the smallest doc_id.
 
     Null ids form no group of their own, so such rows stay unless a named one is near.
+    Rows go by id and text together: others with a null or the same id stay.
     """
-    dropped = stored(minhash.near_duplicates(docs, 80, 100).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "near-dropped")
-    return docs.select(*COLUMNS).join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    dropped = stored(minhash.near_duplicates(docs, 80, 100, marked=True).where("NOT kept").select(F.col("mark").alias("dropped")).distinct(), "near-dropped")
+    marked = docs.select(*COLUMNS, row_mark(F.col("text"), F.col("doc_id").cast("long")).alias("__mark"))
+    return marked.join(dropped.hint("merge"), F.col("__mark") == F.col("dropped"), "left_anti").drop("__mark")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,3 +134,16 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == copies
     for step in steps[1:-1]:
         assert step.columns == docs.columns
+
+
+def test_near_dedup_removes_rows_not_ids(spark):
+    import corpus_pipeline
+
+    prose = lambda seed, n: " ".join(f"w{seed * 1000 + k}" for k in range(n))
+    base = prose(1, 60)
+    rows = [(1, base), (None, base + " tail"), (None, prose(2, 60)), (10, base + " end"), (10, prose(4, 60)), (None, None), (11, None), (12, prose(5, 60)), (None, prose(5, 60))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = corpus_pipeline.near_dedup(spark, frame, "")
+    want = [rows[k] for k in (0, 2, 4, 5, 6, 7)]
+    assert left.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(want)
