@@ -20,7 +20,7 @@ Everything is DataFrame expressions.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are never taken; rows that repeat an id are
-documents of their own, in the order of their sizes.  Documents that fill the
+documents of their own, in the order of their sizes and marks.  Documents that fill the
 last part keep their place in the source's order of words, which is the end where
 it lies beyond the target.  Empty table, empty result.
 """
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, row_mark, stored
 
 #: Rows that a bucket of the hottest source may have to sort, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
@@ -98,12 +98,13 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """Returns doc_id, source, size, source_size, target, copies (0 to ``cap``), taken, and positions (one a copy)."""
+    """Returns doc_id, source, size, source_size, target, copies (0 to ``cap``), taken, positions (one a copy) and mark (of the row)."""
     schedules = schedules or [STEADY]
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        row_mark(F.col(text_col), F.col(id_col).cast("long"), F.col(source_col).cast("string")).alias("mark"),
     )
     rows = stored(rows.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -127,7 +128,7 @@ def mix(
     through = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("start", F.coalesce(F.sum("in_bucket").over(through), F.lit(0)))
     starts = stored(starts.select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), "start"), "mix-starts")
-    within = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("through", F.sum("size").over(within))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("__bucket"))).drop("__source", "__bucket")
     placed = placed.withColumn("through", F.col("through") + F.col("start")).drop("start")
@@ -147,7 +148,7 @@ def mix(
     below = Window.partitionBy(*sized).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     counts = open_.groupBy(*sized, "bucket").agg(F.count(F.lit(1)).alias("in_bucket")).withColumn("before", F.coalesce(F.sum("in_bucket").over(below), F.lit(0)))
     counts = stored(counts.select(F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("bucket").alias("__bucket"), "before"), "mix-counts")
-    rank = F.row_number().over(Window.partitionBy(*sized, "bucket").orderBy(F.col("turn").desc(), F.col("doc_id").desc()))
+    rank = F.row_number().over(Window.partitionBy(*sized, "bucket").orderBy(F.col("turn").desc(), F.col("doc_id").desc(), F.col("mark").desc()))
     ranked = open_.withColumn("rank", rank).join(counts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("bucket") == F.col("__bucket")))
     filled = ranked.withColumn("extra", F.col("rank") + F.col("before") <= F.col("fit"))
     placed = placed.where("fit IS NULL").unionByName(filled.select(*placed.columns))
@@ -160,7 +161,7 @@ def mix(
     share = lambda j: F.when(F.col("target") > 0, F.least((j.cast("double") * F.col("source_size") + middle) / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
     turns = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
     return shape.withColumn("positions", F.transform(turns, lambda j: position(share(j), F.col("pieces")))).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions"
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions", "mark"
     )
 
 
@@ -182,16 +183,14 @@ def _fits(candidates: DataFrame) -> DataFrame:
     return sizes.select("source", F.explode(F.aggregate("sizes", none, fill, lambda done: done["fits"])).alias("f")).select("source", "f.size", "f.fit")
 
 
-def in_training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def in_training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The taken documents, each as often as it is taken, range-sorted by position.
 
-    Rows that repeat an id are matched by id, source and size, so rows equal in
-    all three are taken together.
+    Rows are matched by their mark; of rows that share one (equal in id, source
+    and text) each gets the places of another, so as many go as are taken.
     """
-    places = mixed.where("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "positions"
-    ).dropDuplicates(["__id", "__source", "__size"])
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (size == F.col("__size"))
-    taken = docs.join(places, same).withColumn("__position", F.explode("positions"))
-    return taken.orderBy("__position", F.col(id_col)).drop("__id", "__source", "__size", "positions", "__position")
+    places = mixed.where("copies > 0").groupBy(F.col("mark").alias("__taken")).agg(F.sort_array(F.collect_list("positions")).alias("__places"))
+    marked = docs.withColumn("__mark", row_mark(F.col(text_col), F.col(id_col).cast("long"), F.col(source_col).cast("string")))
+    marked = marked.withColumn("__nth", F.row_number().over(Window.partitionBy("__mark").orderBy(F.lit(0))) - 1)
+    taken = marked.join(places.hint("merge"), F.col("__mark") == F.col("__taken")).withColumn("__position", F.explode(F.get("__places", F.col("__nth"))))
+    return taken.orderBy("__position", F.col(id_col)).drop("__taken", "__places", "__mark", "__nth", "__position")

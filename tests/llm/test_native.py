@@ -1,5 +1,5 @@
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +131,14 @@ def test_mix_of_odd_tables(spark, odd_docs, no_docs):
     order = curriculum.in_training_order(odd_docs, got)
     assert order.columns == odd_docs.columns and order.count() == got.agg(F.sum("copies")).first()[0]
     assert curriculum.mix(no_docs, MIX_WEIGHTS).count() == 0
+
+
+def test_training_order_of_documents_without_an_id_of_their_own(spark):
+    # equal in id, source and size, not in text; and rows that are equal altogether
+    rows = [(None, f"a{k} b", "s") for k in range(40)] + [(7, f"c{k} d", None) for k in range(40)] + [(8, "e f", "s")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = curriculum.mix(docs, [1.0], budget_ratio=1.5)
+    marks = docs.select(curriculum.row_mark(F.col("text"), F.col("doc_id"), F.col("source")).alias("mark"), "text").distinct()
+    want = {r["text"]: r["n"] for r in mixed.join(marks, "mark").groupBy("text").agg(F.sum("copies").alias("n")).collect()}
+    got = Counter(r["text"] for r in curriculum.in_training_order(docs, mixed).collect())
+    assert got == Counter(want) and len(set(got.values())) > 1 and sum(got.values()) > 120
