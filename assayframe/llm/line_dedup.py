@@ -13,8 +13,9 @@ are joined back, in a join whose hot keys the planner can split.
 
 Defined results: a null text counts as empty and stays empty; documents of fewer
 than three lines that aren't blank have no window; a null id counts as larger
-than any other; rows that repeat an id own their windows together, so none of
-them covers the other's.  Columns other than id and text are not read.
+than any other; different texts under one id (or none) are documents of their own, in
+the order of their md5; rows equal in id and text own their windows together, so
+none of them covers the other's.  Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -106,10 +107,11 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = _keyed(docs, id_col, text_col)
     found = keyed.select("order", "mark", "raw").mapInArrow(find, "order long, mark binary, windows array<struct<hash: binary, at: int>>")
     each = stored(found.select("order", "mark", F.explode("windows").alias("w")).select("order", "mark", "w.hash", "w.at"), "line-windows")
-    shared = each.groupBy("hash").agg(F.min("order").alias("owner"), F.max("order").alias("last")).where("owner < last")
+    each = each.withColumn("place", F.struct("order", "mark"))
+    shared = each.groupBy("hash").agg(F.min("place").alias("owner"), F.max("place").alias("last")).where("owner < last")
     shared = stored(shared.select(F.col("hash").alias("shared_hash"), "owner"), "line-shared")
     # Merge joins at every size: what repeats grows with the input, so it's never sent to every executor.
-    later = each.join(shared.hint("merge"), (F.col("hash") == F.col("shared_hash")) & (F.col("order") > F.col("owner")))
+    later = each.join(shared.hint("merge"), (F.col("hash") == F.col("shared_hash")) & (F.col("place") > F.col("owner")))
     lost = stored(later.groupBy(F.col("order").alias("o"), F.col("mark").alias("m")).agg(F.collect_set("at").alias("lost")), "line-lost")
     met = keyed.join(lost.hint("merge"), (F.col("order") == F.col("o")) & (F.col("mark") == F.col("m")), "left")
     schema = "id long, text string, n_lines long, removed_lines long, spans array<struct<first: long, last: long>>"

@@ -55,6 +55,15 @@ def test_lines_of_odd_tables(odd_docs, no_docs):
     assert line_dedup.dedupe_lines(no_docs).count() == 0
 
 
+def test_lines_repeated_among_documents_without_an_id_of_their_own(spark):
+    said = "p\nq\nr"
+    docs = [(None, said + "\nx"), (None, said + "\ny"), (5, "a\nb\nc\nd"), (5, "a\nb\nc\ne"), (6, "a\nb\nc")]
+    got = line_dedup.dedupe_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    first = {i: min((t for k, t in docs if k == i), key=lambda t: hashlib.md5(t.encode()).hexdigest()) for i in (None, 5)}
+    want = [(i, t if first.get(i) == t else t[6:]) for i, t in docs]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
 # ---- language model ------------------------------------------------------
 
 
