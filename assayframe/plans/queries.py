@@ -235,7 +235,7 @@ def old_rule(spark, sf_dir):
     return suites.old_rule_backwards(_moments(spark, sf_dir, SUPPLIER)).select("old_rule_backwards")
 
 
-def curveball_null(spark, sf_dir, reps: int = 16, trades: int = 2000):
+def curveball_null(spark, sf_dir, reps: int = study.RANDOMISATIONS, trades: int = study.TRADES):
     resp = _nation(spark, sf_dir)
     return study.curveball_null(resp, reps, trades)
 

@@ -19,3 +19,7 @@ def test_entry_and_registry(spark):
 
     assert entry.entry(spark).count() == 106
     assert set(ORACLES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_randomisations_are_the_reference_number(spark, sf_dir):
+    assert QUERIES["curveball_null"](spark, sf_dir).count() == 200
