@@ -147,3 +147,42 @@ def test_near_dedup_removes_rows_not_ids(spark):
     want = [rows[k] for k in (0, 2, 4, 5, 6, 7)]
     assert left.columns == frame.columns
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(want)
+
+
+def test_near_dedup_and_mixing_against_brute_force(spark):
+    import random
+
+    import corpus_pipeline
+    from test_native import fill
+    from test_texts import brute_groups
+
+    draw = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(60):  # near copies from about 0.6 to 1, some under null and repeated ids, and texts of their own
+        own = list(base) if k % 2 else [f"o{k}-{j}" for j in range(draw.randint(0, 90))]
+        for _ in range(k % 7):
+            if own:
+                own[draw.randrange(len(own))] = f"v{draw.randint(0, 10**6)}"
+        rows.append((None if k % 5 == 0 else 40 + k % 23, " ".join(own), "ab"[k % 2]))
+    frame = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    numbered = [(i, t) for i, t, _ in rows]
+    gone = Counter()
+    for i, n, component, kept in brute_groups(numbered, 80, 100):
+        gone[i] += not kept
+    left = corpus_pipeline.near_dedup(spark, frame, "").persist()
+    had, has = Counter(i for i, _ in numbered), Counter(r["doc_id"] for r in left.collect())
+    assert has == Counter({i: had[i] - gone[i] for i in had if had[i] > gone[i]}) and sum(gone.values()) > 5
+
+    mixed = Counter((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.mixing(spark, left, "").collect())
+    mine = [(r["doc_id"], r["text"], r["source"]) for r in left.collect()]
+    sizes = Counter()
+    for _, t, s in mine:
+        sizes[s] += len(t.split())
+    want = fill(sizes, {s: corpus_pipeline.MIX_WEIGHTS[k] for k, s in enumerate(sorted(sizes))}, 1.5, 2.0)
+    assert set(mixed) <= set(mine)
+    for s, target in want.items():
+        got = {d: mixed[d] for d in mine if d[2] == s and d[1]}
+        rest, rounds = target - sum(n * len(d[1].split()) for d, n in got.items()), int(target / sizes[s] + 1e-12)
+        assert rest >= -1e-6 and set(got.values()) <= {rounds, rounds + 1}
+        assert all(n > rounds for d, n in got.items() if len(d[1].split()) <= rest)
