@@ -153,29 +153,54 @@ goals AS (
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12::DOUBLE) ELSE 0 END AS rounds FROM goals),
 run AS (
-  SELECT s.*, g.source_size, g.target, g.rounds, g.target - g.rounds * g.source_size AS part,
-         sum(size) OVER (PARTITION BY s.source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS through
+  SELECT s.*, g.source_size, g.target, g.rounds, g.ordinal, g.target - g.rounds * g.source_size AS part,
+         sum(size) OVER (PARTITION BY s.source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS through
   FROM sized s JOIN parts g ON s.source IS NOT DISTINCT FROM g.source),
-cut AS (SELECT *, size > 0 AND through <= part AS extra FROM run),
-left1 AS (SELECT source, max(part) - coalesce(sum(size) FILTER (extra), 0) AS rest FROM cut GROUP BY source),
-fit1 AS (
-  SELECT doc_id, c.source, size FROM cut c JOIN left1 l ON c.source IS NOT DISTINCT FROM l.source WHERE NOT extra AND size > 0 AND size <= rest
-  QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY size DESC, turn DESC, doc_id DESC) = 1),
-left2 AS (SELECT l.source, rest - coalesce(size, 0) AS rest FROM left1 l LEFT JOIN fit1 f ON l.source IS NOT DISTINCT FROM f.source),
-fit2 AS (
-  SELECT doc_id, c.source, size FROM cut c JOIN left2 l ON c.source IS NOT DISTINCT FROM l.source
-  WHERE NOT extra AND size > 0 AND size <= rest AND doc_id NOT IN (SELECT doc_id FROM fit1)
-  QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY size DESC, turn DESC, doc_id DESC) = 1),
+following AS (
+  SELECT source, through, size, part, row_number() OVER (PARTITION BY source ORDER BY through) AS nth FROM run WHERE size > 0 AND through > part QUALIFY nth <= 64),
+ends AS (
+  WITH RECURSIVE meet AS (
+    SELECT source, 0::BIGINT AS nth, any_value(part) AS cut, []::BIGINT[] AS skipped FROM run GROUP BY source
+    UNION ALL
+    SELECT m.source, f.nth, CASE WHEN f.through > cut AND len(skipped) < 16 THEN cut + f.size ELSE cut END, CASE WHEN f.through > cut AND len(skipped) < 16 THEN list_append(skipped, f.through) ELSE skipped END
+    FROM meet m JOIN following f ON m.source IS NOT DISTINCT FROM f.source AND f.nth = m.nth + 1)
+  SELECT source, arg_max(cut, nth) AS cut, arg_max(skipped, nth) AS skipped FROM meet GROUP BY source),
+based AS (
+  SELECT r.*, CASE WHEN size > 0 THEN rounds + (through <= cut AND NOT list_contains(skipped, through))::INT ELSE 0 END::INT AS base
+  FROM run r JOIN ends e ON r.source IS NOT DISTINCT FROM e.source),
+rests AS (SELECT source, max(part) - coalesce(sum(size) FILTER (base > rounds), 0) AS rest FROM based GROUP BY source HAVING abs(rest) > 0.5),
+free1 AS (
+  SELECT b.source, size, through, base, rest, floor(log2(size))::INT AS class FROM based b JOIN rests r ON b.source IS NOT DISTINCT FROM r.source WHERE size > 0),
+free2 AS (SELECT *, row_number() OVER (PARTITION BY source, class, base ORDER BY through) AS nth FROM free1),
+free3 AS (SELECT *, row_number() OVER (PARTITION BY source, base ORDER BY (class > floor(log2(abs(rest))) + 1)::INT, nth, class DESC) AS place FROM free2 WHERE nth <= 14),
+free4 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place, base) AS slot FROM free3 QUALIFY slot <= 14),
+free AS (SELECT *, slot % 2 AS side, power(3, (slot - 1) // 2)::BIGINT AS unit FROM free4),
+sides AS (SELECT source, side, any_value(rest) AS rest, power(3, count(*))::BIGINT AS codes FROM free GROUP BY ALL),
+options AS (SELECT source, side, rest, unnest(range(codes)) AS code FROM sides),
+sums AS (
+  SELECT o.source, o.side, o.rest, code, sum(((code // unit) % 3 - base) * size)::BIGINT AS added
+  FROM options o JOIN free f ON o.source IS NOT DISTINCT FROM f.source AND o.side = f.side GROUP BY ALL),
+least1 AS (SELECT source, side, rest, added, min(code) AS code FROM sums GROUP BY ALL),
+line AS (SELECT *, CASE WHEN side = 1 THEN added::DOUBLE ELSE rest - added END AS spot FROM least1),
+near AS (
+  SELECT source, side, spot, code, last_value(CASE WHEN side = 1 THEN {'a': added, 'c': code} END IGNORE NULLS) OVER (PARTITION BY source ORDER BY spot, side DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below,
+         first_value(CASE WHEN side = 1 THEN {'a': added, 'c': code} END IGNORE NULLS) OVER (PARTITION BY source ORDER BY spot, side DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above FROM line),
+best AS (
+  SELECT source, code0, code1 FROM (
+    SELECT source, code AS code0, below.c AS code1, round(abs(spot - below.a), 6) AS miss, 0 AS over FROM near WHERE side = 0 AND below IS NOT NULL
+    UNION ALL SELECT source, code, above.c, round(abs(spot - above.a), 6), 1 FROM near WHERE side = 0 AND above IS NOT NULL)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, over, code0, code1) = 1),
+chosen AS (SELECT f.source, through, (CASE WHEN side = 0 THEN code0 ELSE code1 END // unit) % 3 AS copies FROM free f JOIN best b ON f.source IS NOT DISTINCT FROM b.source),
 took AS (
-  SELECT *, CASE WHEN size > 0 THEN rounds + (extra OR doc_id IN (SELECT doc_id FROM fit1) OR doc_id IN (SELECT doc_id FROM fit2))::INT ELSE 0 END AS copies,
-         least((through - size / 2.0::DOUBLE) / nullif(target, 0), 1.0::DOUBLE) AS x FROM cut),
+  SELECT b.*, coalesce(c.copies, base)::BIGINT AS copies FROM based b LEFT JOIN chosen c ON b.source IS NOT DISTINCT FROM c.source AND b.through = c.through AND b.size > 0),
+stream AS (
+  SELECT *, (sum(CASE WHEN copies > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY through ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE) / nullif(sum(copies * size) OVER (PARTITION BY source), 0) AS x
+  FROM took),
 timed AS (
-  SELECT t.*, CASE (g.ordinal - 1) % 3 WHEN 0 THEN x
+  SELECT *, CASE (ordinal - 1) % 3 WHEN 0 THEN x
     WHEN 1 THEN CASE WHEN x <= 0.65 THEN 2 * x / (1.6 + sqrt(greatest(2.56 - 2.4 * x, 0))) ELSE 0.5 + 2 * (x - 0.65) / (1.0 + sqrt(greatest(1.0 - 2.4 * (x - 0.65), 0))) END
-    ELSE CASE WHEN x <= 0.35 THEN 2 * x / (0.4 + sqrt(0.16 + 2.4 * x)) ELSE 0.5 + 2 * (x - 0.35) / (1.0 + sqrt(1.0 + 2.4 * (x - 0.35))) END END AS place
-  FROM took t JOIN goals g ON t.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
-       CASE WHEN copies > 0 THEN round(least(place, 1.0), 7) END AS first_position FROM timed
+    ELSE CASE WHEN x <= 0.35 THEN 2 * x / (0.4 + sqrt(0.16 + 2.4 * x)) ELSE 0.5 + 2 * (x - 0.35) / (1.0 + sqrt(1.0 + 2.4 * (x - 0.35))) END END AS place FROM stream)
+SELECT doc_id, size, source_size, target, copies * size AS taken, CASE WHEN copies > 0 THEN round(least(place, 1.0), 7) END AS first_position FROM timed
 """,
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
