@@ -39,7 +39,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, row_mark, stored
+from .common import WORD, free_name, row_mark, stored, with_row_key
 
 #: Rows that a bucket of the hottest source may have to sort, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
@@ -121,14 +121,19 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """Returns doc_id, source, size, source_size, target, copies (0 to ``cap``), taken, positions (one a copy) and mark (of the row)."""
-    schedules = schedules or [STEADY]
+    """Returns doc_id, source, size, source_size, target, copies (0 to ``cap``), taken, positions (one a copy) and, of a ``row_col``, ``key``.
+
+    ``row_col`` is a column of strings that tells rows apart.
+    """
+    schedules, also = schedules or [STEADY], ["key"] if row_col else []
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         row_mark(F.col(text_col), F.col(id_col).cast("long"), F.col(source_col).cast("string")).alias("mark"),
+        *[F.col(row_col).alias(x) for x in also],
     )
     rows = stored(rows.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -152,12 +157,12 @@ def mix(
     through = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("start", F.coalesce(F.sum("in_bucket").over(through), F.lit(0)))
     starts = stored(starts.select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), "start"), "mix-starts")
-    within = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", "mark", *also).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("through", F.sum("size").over(within))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("__bucket"))).drop("__source", "__bucket")
     placed = placed.withColumn("through", F.col("through") + F.col("start")).drop("start", "bucket", "turn")
     placed = _with_sources(placed, goals.select("source", "source_size", "target", "rounds", "part"), few)
-    placed = stored(placed.select("doc_id", "source", "size", "mark", "source_size", "target", "rounds", "part", "through"), "mix-placed")
+    placed = stored(placed.select("doc_id", "source", "size", "source_size", "target", "rounds", "part", "through", *also), "mix-placed")
 
     # Where the prefix ends, what it then leaves of each target, and the documents that change for it.
     ends = stored(cuts(placed), "mix-cuts")
@@ -173,7 +178,7 @@ def mix(
     facts = left.select("source", "prefix", "source_size", "rounds").join(changed.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     facts = _passes(facts.withColumn("changes", F.coalesce("changes", F.array().cast(CHANGES))))
     facts = stored(facts.select("source", "prefix", "changes", "starts"), "mix-facts")
-    return _positions(_with_sources(based, facts, few)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions", "mark")
+    return _positions(_with_sources(based, facts, few)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions", *also)
 
 
 SKIPPED = "array<struct<through: bigint, size: bigint>>"
@@ -283,14 +288,13 @@ def _positions(told: DataFrame) -> DataFrame:
     return told.withColumn("positions", positions(F.transform(turns, share), F.col("pieces")))
 
 
-def in_training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The taken documents, each as often as it is taken, range-sorted by position.
+def training_order(docs: DataFrame, weights: list[float], **options) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` (with these options) takes, each as often as it is taken, range-sorted by position.
 
-    Rows are matched by their mark; of rows that share one (equal in id, source
-    and text) each gets the places of another, so as many go as are taken.
+    Files written from it are in that order by name, and rows inside them.
     """
-    places = mixed.where("copies > 0").groupBy(F.col("mark").alias("__taken")).agg(F.sort_array(F.collect_list("positions")).alias("__places"))
-    marked = docs.withColumn("__mark", row_mark(F.col(text_col), F.col(id_col).cast("long"), F.col(source_col).cast("string")))
-    marked = marked.withColumn("__nth", F.row_number().over(Window.partitionBy("__mark").orderBy(F.lit(0))) - 1)
-    taken = marked.join(places.hint("merge"), F.col("__mark") == F.col("__taken")).withColumn("__position", F.explode(F.get("__places", F.col("__nth"))))
-    return taken.orderBy("__position", F.col(id_col)).drop("__taken", "__places", "__mark", "__nth", "__position")
+    keyed, row = with_row_key(docs)
+    place = free_name(keyed.columns, "place")
+    mixed = mix(keyed, weights, row_col=row, **options).where("copies > 0").select(F.col("key").alias(row), F.explode("positions").alias(place))
+    taken = keyed.join(mixed.hint("merge"), row)
+    return taken.orderBy(place, row).select(*docs.columns)

@@ -15,19 +15,20 @@ Pieces never hold a space mark after another character, so a text is cut before
 each run of marks; equal chunks are encoded once while they stay in a bounded
 cache.  A null text counts as empty and has no ids; the text that ``decode``
 gives back is that of the library (a text's own "▁" becomes a blank).
-Repeated rows are encoded each for itself; columns other than the two that are
-named are not read.
+Repeated rows are encoded each for itself; columns that are not named are not
+read, so their names can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Entries of a worker's caches: chunks, and pairs of tokens.
@@ -255,13 +256,15 @@ def table_of(model_path: str) -> MergeTable:
     return _tables[model_path]
 
 
-def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, ids (array of int) and decoded (the text that the ids give back), a row for each row of ``docs``."""
+def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", also: Sequence[str] = ()) -> DataFrame:
+    """Returns id, ids (array of int), decoded (the text that the ids give back) and the columns ``also``, a row for each row of ``docs``."""
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *also)
+    schema = T.StructType([given.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), *given.schema[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = table_of(model_path)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
+            texts = batch.column(1)
             start, chars, ids, ends, decoded = 0, 0, array("i"), [0], []
             for k in range(batch.num_rows):
                 text = texts[k].as_py() or ""
@@ -272,8 +275,8 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 chars += len(text)
                 if chars >= FLUSH_CHARS or k == batch.num_rows - 1:
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(ids) if len(ids) else [], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([keys.slice(start, k + 1 - start), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+                    own = batch.slice(start, k + 1 - start)
+                    yield pa.RecordBatch.from_arrays([own.column(0), lists, pa.array(decoded, pa.string()), *own.columns[2:]], schema.names)
                     start, chars, ids, ends, decoded = k + 1, 0, array("i"), [0], []
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids array<int>, decoded string")
-    return out.withColumnRenamed("id", id_col)
+    return given.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -19,7 +19,9 @@ Groups are found by large-star and small-star steps over the links.
 
 Defined results: null or empty texts have no set and no link; with fewer than
 five words the whole sequence is the one shingle; null ids count as larger than
-any other; rows that repeat an id are documents of their own.  A pair at the
+any other; rows that repeat an id are documents of their own; an empty table
+gives an empty result; columns that aren't named are not read, so their names
+can't clash.  A pair at the
 threshold shares no band with probability (1 - s^5)^25, 4.3e-7 at s = 0.85.
 """
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_mark, stored
+from .common import stored
 
 WORDS, BANDS, ROWS = 5, 25, 5
 BITS, CELLS = 2, 128
@@ -107,10 +109,10 @@ def bar(threshold: float) -> float:
     return threshold - SLACK * np.sqrt(match * (1 - match) / CELLS) / (1 - chance)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
-    """Returns id, n_shingles, digest (of the set), buckets (one for each band) and packed (binary), a row for each row of ``docs``; with ``marked`` also its ``mark``."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Returns id, n_shingles, digest (of the set), buckets (one for each band) and packed (binary), a row for each row of ``docs``; of a ``row_col`` (a string) also ``key``."""
 
-    also = ["mark"] if marked else []
+    also = ["key"] if row_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -132,12 +134,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     for k in range(ROWS):
                         band = _mix(band * np.uint64(0x9E3779B97F4A7C15) + keys[:, k])
                     rows.append((len(own), xxh3_128_digest(own.tobytes()), band.view(np.int64), pack(least).tobytes()))
-                marks = [batch.column(2)] if marked else []
+                marks = [batch.column(2)] if also else []
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, k) for v, k in zip(zip(*rows), kinds)], *marks], names)
 
-    key = F.col(id_col).cast("long")
-    rows = docs.select(key.alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"), *[row_mark(F.col(text_col), key).alias(x) for x in also])
-    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, buckets array<long>, packed binary" + "".join(f", {x} binary" for x in also))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"), *[F.col(row_col).alias(x) for x in also])
+    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, buckets array<long>, packed binary" + "".join(f", {x} string" for x in also))
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -399,19 +400,22 @@ def components_of(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("class").join(roots, F.col("class") == F.col("__u"), "left").select("class", F.coalesce("root", "class").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Returns id, n_shingles, component_id (the smallest id that links reach) and kept, a row for each row of ``docs``.
 
-    With ``marked`` also ``mark``, the ``row_mark`` of text and id: rows that
-    share it have one fate, rows that only share an id need not.
+    With ``row_col``, a column of strings that tells rows apart, also ``key`` (its
+    values) and ``first``: true of one row of each group, of those with the
+    smallest id the one with the least key.
     """
-    threshold, also = numerator / denominator, ["mark"] if marked else []
-    signed = stored(signatures(docs, id_col, text_col, marked).withColumn("order", F.coalesce("id", F.lit(_LARGEST))).withColumn("row", F.monotonically_increasing_id()), "mh-signed")
+    threshold, also = numerator / denominator, ["key"] if row_col else []
+    signed = signatures(docs, id_col, text_col, row_col).withColumn("order", F.coalesce("id", F.lit(_LARGEST))).withColumn("row", F.monotonically_increasing_id())
+    signed = stored(signed, "mh-signed")
+    place = F.struct("order", "key") if row_col else F.col("order")
     # The smallest row number of a set names its class; its signature is that of any of its rows.
-    named = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("order").alias("first_id"))
+    named = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min(place).alias("first"))
     named = stored(named, "mh-classes")
-    classes = signed.where("n_shingles > 0").join(named.select("class", F.col("first_id")).hint("merge"), F.col("row") == F.col("class"))
-    classes = stored(classes.select("class", "first_id", "id", "digest", F.col("n_shingles").alias("n"), "buckets", "packed"), "mh-representatives")
+    classes = signed.where("n_shingles > 0").join(named.select("class", "first").hint("merge"), F.col("row") == F.col("class"))
+    classes = stored(classes.select("class", "first", "id", "digest", F.col("n_shingles").alias("n"), "buckets", "packed"), "mh-representatives")
     banded = classes.select("class", F.explode("buckets").alias("bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("bucket").alias("shared_bucket")), "mh-shared")
     members = stored(banded.join(shared.hint("merge"), F.col("bucket") == F.col("shared_bucket")).select("class", "bucket"), "mh-members")
@@ -427,16 +431,16 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
         found = stored(confirmed_links(likely, classes, sets, (numerator, denominator)), "mh-links")
         links = found if links is None else links.unionByName(found)
         components = stored(components_of(links, classes), "mh-components")
-    firsts = classes.select("class", "first_id").join(components, "class").groupBy("component").agg(F.min("first_id").alias("least"))
+    firsts = classes.select("class", "first").join(components, "class").groupBy("component").agg(F.min("first").alias("least"))
     firsts = stored(firsts, "mh-firsts")
     by_class = stored(components.join(firsts, "component").select("class", "least"), "mh-least")
     by_set = stored(named.join(by_class, "class").select(F.col("digest").alias("set_digest"), "least"), "mh-by-set")
     told = signed.select("id", "order", "n_shingles", "digest", *also).join(by_set.hint("merge"), F.col("digest") == F.col("set_digest"), "left")
-    least = F.coalesce("least", "order")
+    least = F.coalesce("least.order" if row_col else "least", "order")
     return told.select(
         F.col("id").alias(id_col),
         "n_shingles",
         F.when(least == F.lit(_LARGEST), F.lit(None)).otherwise(least).alias("component_id"),
         (F.col("order") == least).alias("kept"),
-        *also,
+        *[x for k in also for x in (F.col(k), F.coalesce(place == F.col("least"), F.lit(True)).alias("first"))],
     )

@@ -62,8 +62,9 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_index.fresh_index(spark)
-    return index.dedupe(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    docs = documents(spark, sf_dir)
+    index = exact_index.fresh_index(spark, docs.count())
+    return index.dedupe(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,17 @@
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 and is written as Parquet and read again before the next.  All but the last
 return the columns of ``documents``.
+
+Stages decide on rows, which they tell apart by their places in the files that
+they read, so rows without an id, with one that others have, or equal to others
+in every column have fates of their own.  The order of the mix survives: its
+rows are sorted over files and inside them, and the last stage tells each row's
+place in that order.
+
+Defined results, for every stage: an empty table gives an empty one; null texts
+count as empty (and are never taken by the mix, which takes no empty text);
+columns beyond those of ``documents`` are left out.  Documents without labels in
+``labels`` are judged like all others.
 """
 
 from __future__ import annotations
@@ -11,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.llm import curriculum, exact_index, merge_table, minhash, pairwise_quality
-from assayframe.llm.common import documents, row_mark, stored
+from assayframe.llm.common import documents, new_path, passing, remove, with_row_key
 from assayframe.llm.queries import MIX_SCHEDULES, MIX_WEIGHTS, piece_model, quality_ranking
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,31 +34,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    return exact_index.keep_first_of_equal(docs.select(*COLUMNS), exact_index.fresh_index(spark))
+    """Of equal texts the row with the largest doc_id, and one of those that share it."""
+    return exact_index.keep_first_of_equal(docs.select(*COLUMNS), exact_index.fresh_index(spark, docs.count()))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (similarity of 0.8 or more) the row with the smallest doc_id.
-
-    Null ids form no group of their own, so such rows stay unless a named one is near.
-    Rows go by id and text together: others with a null or the same id stay.
-    """
-    dropped = stored(minhash.near_duplicates(docs, 80, 100, marked=True).where("NOT kept").select(F.col("mark").alias("dropped")).distinct(), "near-dropped")
-    marked = docs.select(*COLUMNS, row_mark(F.col("text"), F.col("doc_id").cast("long")).alias("__mark"))
-    return marked.join(dropped.hint("merge"), F.col("__mark") == F.col("dropped"), "left_anti").drop("__mark")
+    """Of each group of near duplicates (similarity of 0.8 or more) one row: of those with the smallest doc_id the first."""
+    keyed, row = with_row_key(docs.select(*COLUMNS))
+    dropped = minhash.near_duplicates(keyed, 80, 100, row_col=row).where("NOT first").select(F.col("key").alias(row))
+    return keyed.join(dropped.hint("merge"), row, "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The taken documents, each as often as the mix takes it, in training order."""
-    mixed = curriculum.mix(docs, MIX_WEIGHTS, schedules=MIX_SCHEDULES)
-    return curriculum.in_training_order(docs.select(*COLUMNS), mixed)
+    return curriculum.training_order(docs.select(*COLUMNS), MIX_WEIGHTS, schedules=MIX_SCHEDULES)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the text that they give back."""
-    coded = merge_table.encode_texts(docs, piece_model())
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    """Token ids of each text, the text that they give back, and ``place``, by which rows sort in the order of ``docs``."""
+    keyed, row = with_row_key(docs.select(*COLUMNS), "place")
+    coded = merge_table.encode_texts(keyed, piece_model(), also=[row])
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded", F.col(row).alias("place"))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]
@@ -57,7 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``.  What a stage leaves in the shared folder goes when the next has read it."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

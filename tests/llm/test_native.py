@@ -32,6 +32,43 @@ def test_index_over_batches(spark, odd_docs, no_docs):
     assert "SortMergeJoin" in shown and "Bucketed: true" in shown
 
 
+def answers(frame):
+    return Counter((r["doc_id"], bytes(r["digest"]), r["keep_id"], r["group_size"], r["kept"]) for r in frame.collect())
+
+
+def test_index_survives_lost_jobs(spark, monkeypatch):
+    index = exact_index.fresh_index(spark)
+    rows = [(k, f"t{k % 7}") for k in range(20)] + [(None, "t1"), (None, "only"), (None, "only"), (5, "t5"), (5, "t5")]
+    batch = spark.createDataFrame(rows, "doc_id long, text string")
+    # a job that is lost after its append and before its commit leaves nothing that counts
+    with monkeypatch.context() as m:
+        m.setattr(exact_index.DigestIndex, "_create", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            index.dedupe(batch)
+    assert spark.table(index.table).count() == 8 and index.rows().count() == 0
+    first = answers(index.dedupe(batch))
+    assert sum(n for r, n in first.items() if r[4]) == 8
+    # one that is run again, rows in another order, gets the answer of the first time, also under a name
+    assert answers(index.dedupe(batch.repartition(5))) == first and index.rows().count() == 8
+    named = spark.createDataFrame([(70, "t1"), (71, "x"), (72, "x")], "doc_id long, text string")
+    second = answers(index.dedupe(named, batch="monday/1 @é"))
+    assert sorted((r[0], r[2], r[4]) for r in second) == [(70, 15, False), (71, 72, False), (72, 72, True)]
+    assert answers(index.dedupe(named, batch="monday/1 @é")) == second
+    assert not any(r[4] for r in answers(index.dedupe(named, batch="tuesday")))
+
+
+def test_index_goes_on_in_another_session(spark):
+    index = exact_index.fresh_index(spark, 40_000_000)
+    assert index.buckets == 32
+    index.dedupe(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))
+    index.drop()
+    other = exact_index.DigestIndex(spark.newSession(), index.table + "_again", index.path, 4)
+    assert other.buckets == 32 and other.rows().count() == 2
+    told = answers(other.dedupe(spark.createDataFrame([(3, "a"), (4, "c")], "doc_id long, text string")))
+    assert sorted((r[0], r[2], r[4]) for r in told) == [(3, 1, False), (4, 4, True)]
+    assert other.rows().count() == 3
+
+
 def test_index_keeps_rows_whole(spark, odd_docs):
     left = exact_index.keep_first_of_equal(odd_docs, exact_index.fresh_index(spark, 4))
     assert left.columns == odd_docs.columns
@@ -170,9 +207,8 @@ def test_names_of_other_columns_do_not_matter(spark):
     docs = spark.createDataFrame([(k, "a b " * (k % 5 + 1), "s") for k in range(40)], "doc_id long, text string, source string")
     for name in ("positions", "size", "copies", "mark", "through", "base", "rest", "changes", "part", "cut", "skipped", "s"):
         docs = docs.withColumn(name, F.lit("clash"))
-    mixed = curriculum.mix(docs, [1.0])
-    order = curriculum.in_training_order(docs, mixed)
-    assert order.columns == docs.columns and order.count() == mixed.agg(F.sum("copies")).first()[0]
+    order = curriculum.training_order(docs, [1.0])
+    assert order.columns == docs.columns and order.count() == curriculum.mix(docs, [1.0]).agg(F.sum("copies")).first()[0]
 
 
 def test_positions_follow_the_schedule(spark):
@@ -185,17 +221,21 @@ def test_positions_follow_the_schedule(spark):
 def test_mix_of_odd_tables(spark, odd_docs, no_docs):
     got = curriculum.mix(odd_docs, MIX_WEIGHTS)
     assert got.count() == 14 and got.where("size = 0 AND taken > 0").isEmpty()
-    order = curriculum.in_training_order(odd_docs, got)
+    order = curriculum.training_order(odd_docs, MIX_WEIGHTS)
     assert order.columns == odd_docs.columns and order.count() == got.agg(F.sum("copies")).first()[0]
-    assert curriculum.mix(no_docs, MIX_WEIGHTS).count() == 0
+    assert curriculum.mix(no_docs, MIX_WEIGHTS).count() == 0 and curriculum.training_order(no_docs, MIX_WEIGHTS).count() == 0
 
 
 def test_training_order_of_documents_without_an_id_of_their_own(spark):
     # equal in id, source and size, not in text; and rows that are equal altogether
     rows = [(None, f"a{k} b", "s") for k in range(40)] + [(7, f"c{k} d", None) for k in range(40)] + [(8, "e f", "s")] * 9
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    mixed = curriculum.mix(docs, [1.0], budget_ratio=1.5)
-    marks = docs.select(curriculum.row_mark(F.col("text"), F.col("doc_id"), F.col("source")).alias("mark"), "text").distinct()
-    want = {r["text"]: r["n"] for r in mixed.join(marks, "mark").groupBy("text").agg(F.sum("copies").alias("n")).collect()}
-    got = Counter(r["text"] for r in curriculum.in_training_order(docs, mixed).collect())
-    assert got == Counter(want) and len(set(got.values())) > 1 and sum(got.values()) > 120
+    from assayframe.llm.common import with_row_key
+
+    docs, key = with_row_key(docs)
+    copies = {r["key"]: r["copies"] for r in curriculum.mix(docs, [1.0], budget_ratio=1.5, row_col=key).collect()}
+    want = Counter()
+    for r in docs.collect():
+        want[r["text"]] += copies[r[key]]
+    got = Counter(r["text"] for r in curriculum.training_order(docs.drop(key), [1.0], budget_ratio=1.5).collect())
+    assert got == +want and len(set(got.values())) > 1 and sum(got.values()) > 120

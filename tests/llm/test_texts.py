@@ -123,7 +123,8 @@ def test_model_of_nothing(spark, no_docs):
 # ---- near duplicates -----------------------------------------------------
 
 
-def brute_groups(rows, num, den):
+def brute_components(rows, num, den):
+    """A row's set, and for each row a row that names its group."""
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
@@ -138,12 +139,17 @@ def brute_groups(rows, num, den):
     for a, b in combinations(range(len(rows)), 2):
         if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
             root[find(a)] = find(b)
+    return sets, [find(k) for k in range(len(rows))]
+
+
+def brute_groups(rows, num, den):
+    sets, group = brute_components(rows, num, den)
     least = {}
     for k, (i, _) in enumerate(rows):
-        least[find(k)] = min(least.get(find(k), 2**63 - 1), 2**63 - 1 if i is None else i)
+        least[group[k]] = min(least.get(group[k], 2**63 - 1), 2**63 - 1 if i is None else i)
     out = []
     for k, (i, _) in enumerate(rows):
-        m = least[find(k)]
+        m = least[group[k]]
         out.append((i, len(sets[k]), None if m == 2**63 - 1 else m, (2**63 - 1 if i is None else i) == m))
     return sorted(out, key=repr)
 
