@@ -8,9 +8,12 @@ samples in laced blocks.  Both work on one file at a time, so memory is bounded
 by the largest file in a batch.
 
 Defined results: a null or empty text is one packet of blanks; a null file has
-no packets; a file that is cut off gives the packets that are whole; bytes that
-are not EBML raise ``ValueError``.  Equal texts give equal files.  Repeated rows
-are stored each for itself; only the named columns are read.
+no packets; a file that is cut off, at whatever byte, gives the packets that are
+whole (a number, name or lacing head that is cut counts as absent, and of a block
+group that is cut no packet is a keyframe); bytes that are not EBML, or break its
+rules, raise ``ValueError``.  Equal texts give equal files.  Repeated rows are
+stored each for itself; only the named columns are read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the format: element IDs, with their marker bits.
-EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
+EBML, EBML_VERSION, EBML_READ_VERSION, MAX_ID_LENGTH, MAX_SIZE_LENGTH = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
+DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
-TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0xAE, 0xD7, 0x73C5, 0x83, 0x86
+TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 NO_LACING, XIPH_LACING, FIXED_LACING, EBML_LACING = 0x00, 0x02, 0x04, 0x06
 
@@ -129,43 +133,58 @@ def audio_file(payload: bytes) -> bytes:
         parts.append(element(CLUSTER, b"".join(body)))
         at += len(parts[-1])
     parts.append(element(CUES, b"".join(points)))
-    return element(EBML, element(DOC_TYPE, b"matroska")) + element(SEGMENT, b"".join(parts))
+    head = uint(EBML_VERSION, 1) + uint(EBML_READ_VERSION, 1) + uint(MAX_ID_LENGTH, 4) + uint(MAX_SIZE_LENGTH, 8)
+    # simple blocks are of version 2, the rest of version 1
+    head += element(DOC_TYPE, b"matroska") + uint(DOC_TYPE_VERSION, 2) + uint(DOC_TYPE_READ_VERSION, 2)
+    return element(EBML, head) + element(SEGMENT, b"".join(parts))
 
 
 # ---- reading -------------------------------------------------------------
 
 
-def read_number(data: bytes, at: int) -> tuple[int, int, int]:
-    """Value without marker, width, and value with marker of the variable-length number at a place."""
-    if at >= len(data):
+def read_number(data: bytes, at: int, end: int | None = None) -> tuple[int, int, int]:
+    """Value without marker, width, and value with marker of the variable-length number at a place; EOFError if it is cut."""
+    end = len(data) if end is None else end
+    if at >= end:
         raise EOFError
     width = 9 - data[at].bit_length()
     if width > 8:
         raise ValueError(f"no variable-length number at byte {at}")
-    if at + width > len(data):
+    if at + width > end:
         raise EOFError
     whole = int.from_bytes(data[at : at + width], "big")
     return whole & (1 << 7 * width) - 1, width, whole
 
 
-def elements(data: bytes, at: int, end: int, within: frozenset[int] | None = None) -> Iterator[tuple[int, int, int, int]]:
-    """(code, start, body, end) of the elements in a range.
+class Element(NamedTuple):
+    code: int
+    start: int
+    body: int
+    end: int  # of what is there
+    stop: int  # of what its size announces
 
-    An element of unknown size reaches to the end of the range, or to the next
-    cluster or other top element if it is a cluster.  What is cut off ends the
-    walk.
+    @property
+    def whole(self) -> bool:
+        return self.end == self.stop
+
+
+def elements(data: bytes, at: int, end: int) -> Iterator[Element]:
+    """The elements in a range, the last of which may be cut.
+
+    One of unknown size reaches to the end of the range, or to the next cluster or
+    other top element if it is a cluster.
     """
     while at < end:
         try:
-            _, n, code = read_number(data, at)
-            size, m, _ = read_number(data, at + n)
+            _, n, code = read_number(data, at, end)
+            size, m, _ = read_number(data, at + n, end)
         except EOFError:
             return
         body = at + n + m
         stop = body + size
         if size == (1 << 7 * m) - 1:
             stop = end if code != CLUSTER else _cluster_end(data, body, end)
-        yield code, at, body, min(stop, end)
+        yield Element(code, at, body, min(stop, end), stop)
         at = stop
 
 
@@ -173,141 +192,161 @@ def _cluster_end(data: bytes, at: int, end: int) -> int:
     top = {CLUSTER, CUES, INFO, TRACKS, EBML, SEGMENT}
     while at < end:
         try:
-            _, n, code = read_number(data, at)
+            _, n, code = read_number(data, at, end)
             if code in top:
                 return at
-            size, m, _ = read_number(data, at + n)
+            size, m, _ = read_number(data, at + n, end)
         except EOFError:
             break
         at += n + m + size
     return end
 
 
-def frame_sizes(data: bytes, at: int, end: int, how: int) -> tuple[int, list[int]]:
-    """Where a block's frames begin, and their sizes."""
+def frame_sizes(data: bytes, at: int, end: int, stop: int, how: int) -> tuple[int, list[int]]:
+    """Where a block's frames begin, and their sizes; the block ends at ``stop``, what is there of it at ``end``."""
     if how == NO_LACING:
-        return at, [end - at]
-    count, at = data[at] + 1, at + 1
+        return at, [stop - at]
+
+    def byte(k: int) -> int:
+        if k >= end:
+            raise EOFError
+        return data[k]
+
+    count, at = byte(at) + 1, at + 1
     if how == FIXED_LACING:
-        return at, [(end - at) // count] * count
+        return at, [(stop - at) // count] * count
     sizes: list[int] = []
     if how == XIPH_LACING:
         for _ in range(count - 1):
             n = 0
-            while data[at] == 255:
+            while byte(at) == 255:
                 n, at = n + 255, at + 1
-            sizes.append(n + data[at])
+            sizes.append(n + byte(at))
             at += 1
     elif count > 1:
-        n, width, _ = read_number(data, at)
+        n, width, _ = read_number(data, at, end)
         sizes, at = [n], at + width
         for _ in range(count - 2):
-            d, width, _ = read_number(data, at)
+            d, width, _ = read_number(data, at, end)
             sizes.append(sizes[-1] + d - ((1 << 7 * width - 1) - 1))
             at += width
-    return at, [*sizes, end - at - sum(sizes)]
+    sizes.append(stop - at - sum(sizes))
+    if min(sizes) < 0:
+        raise ValueError(f"lacing beyond its block at byte {at}")
+    return at, sizes
 
 
 def parse(data: bytes) -> Media:
     """Tracks, packets in file order, and cues."""
-    out = Media()
-    if data[:4] != EBML.to_bytes(4, "big"):
+    out, magic = Media(), EBML.to_bytes(4, "big")
+    if data[:4] != magic[: len(data)]:
         raise ValueError("not an EBML file")
-    uint_ = lambda a, b: int.from_bytes(data[a:b], "big")
-    for code, _, body, end in elements(data, 0, len(data)):
-        if code != SEGMENT:
+    for top in elements(data, 0, len(data)):
+        if top.code != SEGMENT:
             continue
-        base = body
-        for top, start, a, b in elements(data, body, end):
-            if top == INFO:
-                for k, _, x, y in elements(data, a, b):
-                    if k == TIMESTAMP_SCALE:
-                        out.scale = uint_(x, y)
-                    elif k == DURATION:
-                        out.duration = _real(data[x:y])
-            elif top == TRACKS:
-                for k, _, x, y in elements(data, a, b):
-                    if k == TRACK_ENTRY:
-                        track = _track(data, x, y)
+        for e in elements(data, top.body, top.end):
+            if e.code == INFO:
+                told = _values(data, e)
+                out.scale = _whole(told.get(TIMESTAMP_SCALE)) or out.scale
+                out.duration = _real(told.get(DURATION, b""))
+            elif e.code == TRACKS:
+                for entry in elements(data, e.body, e.end):
+                    if entry.code == TRACK_ENTRY:
+                        track = _track(data, entry)
                         out.tracks[track.get("number", 0)] = track
-            elif top == CLUSTER:
-                out.clusters.append(start)
-                _cluster(data, a, b, out)
-            elif top == CUES:
-                for k, _, x, y in elements(data, a, b):
-                    if k == CUE_POINT:
-                        out.cues += _cue(data, x, y, base)
+            elif e.code == CLUSTER:
+                out.clusters.append(e.start)
+                _cluster(data, e, out)
+            elif e.code == CUES:
+                for point in elements(data, e.body, e.end):
+                    if point.code == CUE_POINT and point.whole:
+                        out.cues += _cue(data, point, top.body)
     return out
 
 
+def _values(data: bytes, parent: Element) -> dict[int, bytes]:
+    """The bytes of an element's whole children, by code; of repeated ones the last."""
+    return {e.code: data[e.body : e.end] for e in elements(data, parent.body, parent.end) if e.whole}
+
+
+def _whole(raw: bytes | None) -> int:
+    return int.from_bytes(raw or b"", "big")
+
+
 def _real(raw: bytes) -> float:
     import struct
 
-    return struct.unpack(">f" if len(raw) == 4 else ">d", raw)[0] if raw else 0.0
+    return struct.unpack({4: ">f", 8: ">d"}[len(raw)], raw)[0] if len(raw) in (4, 8) else 0.0
 
 
-def _track(data: bytes, at: int, end: int) -> dict:
-    names = {TRACK_NUMBER: "number", TRACK_UID: "uid", TRACK_TYPE: "type", CHANNELS: "channels", BIT_DEPTH: "bits"}
+def _track(data: bytes, entry: Element) -> dict:
+    names = {TRACK_NUMBER: "number", TRACK_UID: "uid", TRACK_TYPE: "type", CHANNELS: "channels", BIT_DEPTH: "bits", DEFAULT_DURATION: "frame_ns"}
     out: dict = {}
-    for code, _, a, b in elements(data, at, end):
-        if code == AUDIO:
-            out |= _track(data, a, b)
-        elif code == CODEC_ID:
-            out["codec"] = data[a:b].rstrip(b"\0").decode()
-        elif code == SAMPLING:
-            out["rate"] = _real(data[a:b])
-        elif code in names:
-            out[names[code]] = int.from_bytes(data[a:b], "big")
+    for e in elements(data, entry.body, entry.end):
+        raw = data[e.body : e.end]
+        if e.code == AUDIO:
+            out |= _track(data, e)
+        elif not e.whole:
+            continue
+        elif e.code == CODEC_ID:
+            out["codec"] = raw.rstrip(b"\0").decode("utf-8", "replace")
+        elif e.code == SAMPLING:
+            out["rate"] = _real(raw)
+        elif e.code in names:
+            out[names[e.code]] = _whole(raw)
     return out
 
 
-def _cue(data: bytes, at: int, end: int, base: int) -> list[tuple[int, int, int]]:
-    time, places = 0, []
-    for code, _, a, b in elements(data, at, end):
-        if code == CUE_TIME:
-            time = int.from_bytes(data[a:b], "big")
-        elif code == CUE_POSITIONS:
-            places.append({k: int.from_bytes(data[x:y], "big") for k, _, x, y in elements(data, a, b)})
-    return [(time, p.get(CUE_TRACK, 0), base + p.get(CUE_CLUSTER, 0)) for p in places]
+def _cue(data: bytes, point: Element, base: int) -> list[tuple[int, int, int]]:
+    time = _whole(_values(data, point).get(CUE_TIME))
+    places = [_values(data, e) for e in elements(data, point.body, point.end) if e.code == CUE_POSITIONS]
+    return [(time, _whole(p.get(CUE_TRACK)), base + _whole(p.get(CUE_CLUSTER))) for p in places]
 
 
-def _cluster(data: bytes, at: int, end: int, out: Media) -> None:
+def _cluster(data: bytes, cluster: Element, out: Media) -> None:
     time = 0
-    for code, _, a, b in elements(data, at, end):
-        if code == TIMESTAMP:
-            time = int.from_bytes(data[a:b], "big")
-        elif code == SIMPLE_BLOCK:
-            _block(data, a, b, time, 0, True, out)
-        elif code == BLOCK_GROUP:
-            inner = {k: (x, y) for k, _, x, y in elements(data, a, b)}
-            if BLOCK in inner:
-                d = inner.get(BLOCK_DURATION, (0, 0))
-                _block(data, *inner[BLOCK], time, int.from_bytes(data[d[0] : d[1]], "big"), False, out)
-
-
-def _block(data: bytes, at: int, end: int, time: int, duration: int, simple: bool, out: Media) -> None:
-    track, width, _ = read_number(data, at)
-    head = at + width
-    if head + 3 > end:
+    for e in elements(data, cluster.body, cluster.end):
+        if e.code == TIMESTAMP and e.whole:
+            time = _whole(data[e.body : e.end])
+        elif e.code == SIMPLE_BLOCK:
+            _block(data, e, time, 0, None, out)
+        elif e.code == BLOCK_GROUP:
+            told = _values(data, e)
+            # a block without a reference stands for itself; of a cut group it isn't known
+            key = e.whole and REFERENCE_BLOCK not in told
+            for inner in elements(data, e.body, e.end):
+                if inner.code == BLOCK:
+                    _block(data, inner, time, _whole(told.get(BLOCK_DURATION)), key, out)
+
+
+def _block(data: bytes, block: Element, time: int, duration: int, key: bool | None, out: Media) -> None:
+    """Adds a block's whole packets; ``key`` is None where the block's own flag tells of keyframes."""
+    try:
+        track, width, _ = read_number(data, block.body, block.end)
+        head = block.body + width
+        if head + 3 > block.end:
+            return
+        time += int.from_bytes(data[head : head + 2], "big", signed=True)
+        flags = data[head + 2]
+        start, sizes = frame_sizes(data, head + 3, block.end, block.stop, flags & 0x06)
+    except EOFError:
         return
-    time += int.from_bytes(data[head : head + 2], "big", signed=True)
-    flags = data[head + 2]
-    start, sizes = frame_sizes(data, head + 3, end, flags & 0x06)
-    # Frames of one block share its time; a known sample rate, or the block's duration, sets those after the first.
+    # Frames of one block share its time; a known duration of frames, or a sample rate, sets those after the first.
     about = out.tracks.get(track, {})
-    step = duration / len(sizes) if duration else None
-    width = max(1, about.get("bits", 0) // 8) * max(1, about.get("channels", 1))
+    wide = max(1, about.get("bits", 0) // 8) * max(1, about.get("channels", 1))
     done = 0
     for i, n in enumerate(sizes):
-        if start + n > len(data):
+        if start + n > block.end:
             return
-        if step is not None:
-            own = time + int(i * step)
+        if duration:
+            own = time + i * duration // len(sizes)
+        elif about.get("frame_ns"):
+            own = time + i * about["frame_ns"] // out.scale
         elif about.get("rate") and about.get("bits"):
-            own = time + int(done // width * 1_000_000_000 // int(about["rate"]) // out.scale)
+            own = time + int(done // wide * 1_000_000_000 // int(about["rate"]) // out.scale)
         else:
             own = time
-        out.packets.append(Packet(track, own, start, n, not simple or bool(flags & 0x80)))
+        out.packets.append(Packet(track, own, start, n, bool(flags & 0x80) if key is None else key))
         start, done = start + n, done + n
     out.blocks += 1
 

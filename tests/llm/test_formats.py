@@ -51,6 +51,97 @@ def test_unknown_sizes_groups_and_cut_files():
         mk.parse(b"RIFF....")
 
 
+def every_lacing():
+    """A file with all lacings, in simple blocks and in groups, the second group with a reference; and what it holds."""
+    frames = [bytes([65 + k]) * n for k, n in enumerate([3, 300, 1, 2])]
+    even = [b"aa", b"bb", b"cc"]
+    ref = mk.element(mk.REFERENCE_BLOCK, b"\xff")
+    one = mk.uint(mk.TIMESTAMP, 10) + mk.element(mk.SIMPLE_BLOCK, block(1, 1, 0x80, b"solo"))
+    for how, own in ((mk.XIPH_LACING, frames), (mk.EBML_LACING, frames), (mk.FIXED_LACING, even)):
+        one += mk.element(mk.SIMPLE_BLOCK, block(1, 2, how, mk.laced(own, how)))
+        one += mk.element(mk.BLOCK_GROUP, mk.element(mk.BLOCK, block(2, 3, how, mk.laced(own, how))) + (ref if how == mk.EBML_LACING else b""))
+    track = mk.element(mk.TRACKS, mk.element(mk.TRACK_ENTRY, mk.uint(mk.TRACK_NUMBER, 2) + mk.uint(mk.DEFAULT_DURATION, 5_000_000)))
+    data = mk.element(mk.EBML, mk.element(mk.DOC_TYPE, b"matroska")) + mk.element(mk.SEGMENT, mk.element(0xEC, b"void") + track + mk.element(mk.CLUSTER, one))
+    held = [b"solo"]
+    for own in (frames, frames, even):
+        held += own + own
+    return data, held
+
+
+def test_files_cut_at_every_byte():
+    data, held = every_lacing()
+    whole = mk.parse(data)
+    assert [data[p.offset : p.offset + p.size] for p in whole.packets] == held
+    assert [(p.timestamp, p.keyframe) for p in whole.packets if p.track == 2] == [(13 + 5 * k, True) for k in range(4)] + [(13 + 5 * k, False) for k in range(4)] + [(13 + 5 * k, True) for k in range(3)]
+    assert [p.keyframe for p in whole.packets if p.track == 1] == [True] + [False] * 11
+    sound = mk.audio_file(mk.payload_of(bytes(range(256)) * 14))
+    live = mk.element(mk.EBML, b"") + mk.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + mk.CLUSTER.to_bytes(4, "big") + b"\xff" + mk.uint(mk.TIMESTAMP, 0) + mk.element(mk.SIMPLE_BLOCK, block(1, 0, 0x80, b"zz"))
+    for file in (data, sound, live):
+        full = [(p.track, p.timestamp, p.offset, p.size) for p in mk.parse(file).packets]
+        assert full
+        for cut in range(len(file)):
+            got = mk.parse(file[:cut])
+            assert [(p.track, p.timestamp, p.offset, p.size) for p in got.packets] == [p for p in full if p[2] + p[3] <= cut]
+    for broken in (b"RIFF", data[:60] + b"\x00" * 40, b"\x00"):
+        with pytest.raises(ValueError):
+            mk.parse(broken)
+
+
+def read_back(data):
+    """The frames of a file by a reader of its own: nested elements by their sizes, lacing by the format's rules."""
+
+    def number(at, keep=False):
+        n = next(k for k in range(1, 9) if data[at] >> (8 - k))
+        v = int.from_bytes(data[at : at + n], "big")
+        return (v if keep else v - (1 << 7 * n)), at + n
+
+    def walk(at, end):
+        while at < end:
+            code, at = number(at, True)
+            size, at = number(at)
+            if code in (0x18538067, 0x1F43B675):
+                yield from walk(at, at + size)
+            else:
+                yield code, at, at + size
+            at += size
+
+    frames, times, base = [], [], 0
+    for code, at, end in walk(0, len(data)):
+        if code == 0xE7:
+            base = int.from_bytes(data[at:end], "big")
+        if code != 0xA3:
+            continue
+        track, at = number(at)
+        assert track == 1
+        start, how, at = base + int.from_bytes(data[at : at + 2], "big"), data[at + 2] >> 1 & 3, at + 3
+        sizes = []
+        if how:
+            count, at = data[at] + 1, at + 1
+            if how == 1:
+                while len(sizes) < count - 1:
+                    sizes.append(0)
+                    while data[at] == 255:
+                        sizes[-1] += 255
+                        at += 1
+                    sizes[-1] += data[at]
+                    at += 1
+            elif how == 3:
+                n, at = number(at)
+                sizes.append(n)
+                while len(sizes) < count - 1:
+                    was = at
+                    d, at = number(at)
+                    sizes.append(sizes[-1] + d - (2 ** (7 * (at - was) - 1) - 1))
+            else:
+                sizes = [(end - at) // count] * (count - 1)
+        sizes.append(end - at - sum(sizes))
+        for n in sizes:
+            frames.append((at, n))
+            times.append(start)
+            start, at = start + n // 8, at + n  # 8000 samples a second
+    return frames, times
+
+
 def test_media_of_odd_tables(spark, odd_docs, no_docs):
     media = mk.store_texts(odd_docs).persist()
     rows = mk.features(media).collect()
@@ -58,19 +149,34 @@ def test_media_of_odd_tables(spark, odd_docs, no_docs):
     assert Counter(r["payload_sha256"] for r in rows) == want
     for r in rows:
         assert r["payload_bytes"] % 192 == 0 and r["n_bytes"] <= r["payload_bytes"]
-    packets = mk.packet_table(media.union(spark.createDataFrame([(50, 0, None)], media.schema)))
-    assert packets.count() == sum(r["payload_bytes"] // 192 for r in rows)
+    given = media.union(spark.createDataFrame([(50, 0, None)], media.schema)).withColumn("packet", F.lit("clash"))
+    packets = Counter((r["doc_id"], r["packet"], r["track"], r["timestamp_ns"], r["offset"], r["size"], r["keyframe"]) for r in mk.packet_table(given).collect())
+    expected = Counter()
+    for r in media.collect():
+        frames, times = read_back(bytes(r["media"]))
+        expected.update((r["doc_id"], k, 1, t * 1_000_000, at, n, True) for k, ((at, n), t) in enumerate(zip(frames, times)))
+    assert packets == expected
     assert mk.features(mk.store_texts(no_docs)).count() == 0 and mk.packet_table(mk.store_texts(no_docs)).count() == 0
 
 
 def test_media_query(spark, sf_dir):
-    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    files = {r["doc_id"]: bytes(r["media"]) for r in mk.store_texts(docs).collect()}
     rows = QUERIES["op8_media_columns"](spark, sf_dir).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        payload = mk.payload_of(texts[r["doc_id"]])
-        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(payload), zlib.crc32(payload[-16:]))
-        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_sha256"] == hashlib.sha256(mk.audio_file(payload)).hexdigest()
+        raw, data = texts[r["doc_id"]], files[r["doc_id"]]
+        size = max(192, -(-len(raw) // 192) * 192)
+        payload = raw.ljust(size, b" ")
+        frames, _ = read_back(data)
+        assert b"".join(data[at : at + n] for at, n in frames) == payload
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"], r["tail_crc32"]) == (len(raw), size, len(data), zlib.crc32(payload[-16:]))
+        assert (r["payload_sha256"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(data).hexdigest())
+        n = size // 192
+        clusters = -(-n // 256)
+        blocks = -(-n // 8)
+        assert r["feature"] == f"A_PCM/INT/LIT;8000Hz;packets={n};blocks={blocks};clusters={clusters};cues={clusters};ms={n * 24};level={sum(payload) * 1000 // size}"
 
 
 def test_archives_round_trip(spark):
