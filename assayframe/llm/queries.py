@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import curriculum, exact_index, lattice_lm, line_dedup, matroska, merge_table, minhash, pairwise_quality, url_rules, warc
-from .common import documents, stored
+from .common import documents, new_path, stored
 
 RULES = [
     ("allow", "com", "/"),
@@ -85,8 +85,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.decide(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    normal = stored(warc.normalise(stored(warc.write_archives(records), "warc-gz")), "warc-members")
-    return warc.read_records(normal).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    streams, members = new_path(spark, "warc-streams"), new_path(spark, "warc-members")
+    archives = stored(warc.write_archives(records, streams), "warc-archives")
+    index = stored(warc.normalise(archives, streams, members), "warc-index")
+    return warc.read_records(index, members).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {

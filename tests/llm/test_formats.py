@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import io
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayframe.llm import matroska as mk
 from assayframe.llm import warc
+from assayframe.llm.common import stored
 from assayframe.llm.queries import QUERIES
 
 
@@ -179,13 +181,14 @@ def test_media_query(spark, sf_dir):
         assert r["feature"] == f"A_PCM/INT/LIT;8000Hz;packets={n};blocks={blocks};clusters={clusters};cues={clusters};ms={n * 24};level={sum(payload) * 1000 // size}"
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, tmp_path):
     pages = [(k, f"http://a/{k}", f"<p>{k % 7}</p>" * 20) for k in range(40)]
     pages += [(100, None, None), (101, "u\r\nx", ""), (102, "u", "short"), (103, "u", "short"), (104, "u", "é" * 60), (105, "u", "x" * 300_000), (None, "u", "é" * 60), (7, "http://a/7", "<p>0</p>" * 20)]
     frame = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, payload string").repartition(3)
-    old = warc.write_archives(warc.decide(frame), archive_bytes=5000).persist()
-    new = warc.normalise(old).persist()
-    got = Counter((r["id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_records(new).collect())
+    streams, members = tmp_path / "streams", tmp_path / "members"
+    archives = stored(warc.write_archives(warc.decide(frame), str(streams), archive_bytes=5000), "archives")
+    index = stored(warc.normalise(archives, f"file:{streams}", f"file://{members}"), "index")
+    got = Counter((r["id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_records(index, str(members)).collect())
     first = {}
     for k, _, h in sorted(pages, key=lambda p: (p[0] is None, p[0])):
         first.setdefault(h or "", k)
@@ -196,26 +199,105 @@ def test_archives_round_trip(spark):
         want[(k, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first[h] if again else None)] += 1
     assert got == want
     # the old archives are one stream each; the new ones have a member for each record, at the index's offsets
-    for r in old.collect():
+    old = {p.name: p.read_bytes() for p in streams.iterdir()}
+    assert len(old) == archives.count() > 3 and archives.agg(F.sum("records")).first()[0] == len(pages) == index.count()
+    for data in old.values():
         stream = zlib.decompressobj(31)
-        stream.decompress(bytes(r["data"]))
+        stream.decompress(data)
         assert stream.eof and not stream.unused_data
-    joined = {r["archive"]: bytes(r["data"]) for r in old.collect()}
-    for r in new.collect():
-        data = bytes(r["data"])
-        members = [gzip.decompress(data[x["offset"] : x["offset"] + x["length"]]) for x in r["index"]]
-        assert b"".join(members) == gzip.decompress(joined[r["archive"]]) and all(m.startswith(b"WARC/1.1\r\n") for m in members)
-    whole = warc.read_records(new, with_payload=True).where("id = 105").first()
-    assert bytes(whole["payload"]) == b"x" * 300_000
-
-
-def test_archives_cut_or_empty(spark):
-    one = warc.record_bytes("1", "u", b"abc", "d", "response", None)
-    members = gzip.compress(one) + gzip.compress(one)
-    assert len(warc.normalise_archive(members)[1]) == 2 and len(warc.normalise_archive(members[:-20])[1]) == 1
-    assert warc.normalise_archive(gzip.compress(one + one[:-9]))[1][0]["record_type"] == "response"
+    texts = Counter()
+    for p in members.iterdir():
+        data, rows = p.read_bytes(), index.where(F.col("archive") == p.name).orderBy("offset").collect()
+        parts = [gzip.decompress(data[r["offset"] : r["offset"] + r["length"]]) for r in rows]
+        assert sum(r["length"] for r in rows) == len(data) and all(m.startswith(b"WARC/1.1\r\n") for m in parts)
+        texts[b"".join(parts)] += 1
+    assert texts == Counter(map(gzip.decompress, old.values()))
+    # one record by its range alone: the other bytes of its archive may be anything
+    one = index.where("record_id = '<urn:page:105>'")
+    at = one.first()
+    data = (members / at["archive"]).read_bytes()
+    (members / at["archive"]).write_bytes(b"?" * at["offset"] + data[at["offset"] : at["offset"] + at["length"]] + b"?" * 50)
+    whole = warc.read_records(one, str(members), with_payload=True).first()
+    assert bytes(whole["payload"]) == b"x" * 300_000 and whole["id"] == 105
+
+
+def test_query_with_repeated_pages(spark, tmp_path):
+    """The registered query where a third of all pages have one payload, and others theirs twice."""
+    rows = [(k, f"http://h/{k}", "<p>" + "a" * 200 if k % 3 == 0 else f"<p>{k // 6}</p>" * 30 if k % 3 == 1 else "b" * 99) for k in range(300)] + [(300, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: tuple(r)[1:] for r in QUERIES["op10_warc"](spark, str(tmp_path)).collect()}
+    first, want = {}, {}
+    for k, _, h in rows:
+        raw = (h or "").encode()
+        to = first.setdefault(raw, k)
+        again = to != k and len(raw) >= 100
+        want[k] = (len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", to if again else None)
+    assert got == want and sum(w[2] == "revisit" for w in want.values()) == 149
+
+
+def rewritten(data):
+    """Members and index of an archive given as bytes."""
+    out = io.BytesIO()
+    index = list(warc.normalise_archive(io.BytesIO(data).read, out.write))
+    return [gzip.decompress(out.getvalue()[a : a + n]) for a, n, _, _ in index], [(kind, key) for _, _, kind, key in index]
+
+
+def test_archives_cut_padded_or_broken(spark, tmp_path, monkeypatch):
+    one, two = (warc.record_bytes(str(k), "u", b"abc" * k, "d", "response", None) for k in (1, 2))
+    told = [("response", "<urn:page:1>"), ("response", "<urn:page:2>")]
+    members = gzip.compress(one) + gzip.compress(two)
+    assert rewritten(members) == ([one, two], told)
+    for size in (1, 7, 1 << 16):
+        monkeypatch.setattr(warc, "READ", size)
+        assert rewritten(members[:-20]) == ([one], told[:1])
+        assert rewritten(gzip.compress(one + two[:-9])) == ([one], told[:1])
+        # zero padding, between members and at the end, and what isn't a member behind the last
+        assert rewritten(gzip.compress(one) + bytes(600) + gzip.compress(two) + bytes(100_000)) == ([one, two], told)
+        assert rewritten(members + b"trailer") == ([one, two], told)
+        assert rewritten(b"") == rewritten(bytes(50)) == rewritten(b"plain") == ([], [])
+        # a head without length, one with a wrong one, and bytes that are no record: kept, and passed over
+        bad = one.replace(b"Content-Length: ", b"Content-Size: ", 1)
+        odd = one.replace(b"Content-Length: ", b"Content-Length: x", 1)
+        assert rewritten(gzip.compress(bad + two + odd + one)) == ([bad, two, odd, one], [(None, None), told[1], (None, None), told[0]])
+        assert rewritten(gzip.compress(b"\r\nnoise" + one + b"end")) == ([b"\r\nnoise", one, b"end"], [(None, None), told[0], (None, None)])
+    broken = bytearray(gzip.compress(one + two * 50))
+    broken[len(broken) // 2] ^= 0xFF
+    assert rewritten(bytes(broken))[0][:1] in ([one], [])
     none = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.read_records(warc.normalise(warc.write_archives(warc.decide(none)))).count() == 0
+    archives = stored(warc.write_archives(warc.decide(none), str(tmp_path / "a")), "none")
+    assert archives.count() == 0 and warc.read_records(stored(warc.normalise(archives, str(tmp_path / "a"), str(tmp_path / "b")), "none"), str(tmp_path / "b")).count() == 0
+    # a stream larger than any cell of a table would be is read in pieces: what is held at once stays small
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.warc.gz").write_bytes(gzip.compress(bad + two))
+    index = stored(warc.normalise(spark.createDataFrame([("x.warc.gz", 0)], "archive string, n int"), str(tmp_path / "bad"), str(tmp_path / "good")), "index")
+    assert index.count() == 2 and [r["id"] for r in warc.read_records(index, str(tmp_path / "good")).collect()] == [2]
+
+
+def test_large_streams_are_never_held():
+    import tracemalloc
+
+    def stream():
+        press, total = zlib.compressobj(1, zlib.DEFLATED, 31), 0
+        for k in range(3000):
+            yield press.compress(warc.record_bytes(str(k), "u", b"%d" % k * 10_000, "d", "response", None))
+        yield press.flush()
+
+    pieces, held = stream(), bytearray()
+
+    def read(n):
+        while len(held) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                break
+            held.extend(piece)
+        out = bytes(held[:n])
+        del held[:n]
+        return out
+
+    tracemalloc.start()
+    seen = sum(1 for _ in warc.normalise_archive(read, len))
+    assert seen == 3000 and tracemalloc.get_traced_memory()[1] < 40_000_000  # of 110 MB
+    tracemalloc.stop()
 
 
 def test_pipeline(spark, sf_dir):
