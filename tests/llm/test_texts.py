@@ -67,24 +67,116 @@ def test_lines_repeated_among_documents_without_an_id_of_their_own(spark):
 # ---- language model ------------------------------------------------------
 
 
+def segmentations(s, known, unit):
+    """All ways to cut ``s`` into pieces (a character without a piece is its bytes), with the pieces of each."""
+    if not s:
+        yield ()
+    for e in range(1, len(s) + 1):
+        if s[:e] in known:
+            first = (known[s[:e]],)
+        elif e == 1:
+            first = tuple(int(unit[x]) for x in s[:1].encode())
+        else:
+            continue
+        for rest in segmentations(s[e:], known, unit):
+            yield first + rest
+
+
+def brute_lattice(s, known, unit, logq):
+    """Log of the sum over all segmentations, character by character."""
+    sums = [0.0] + [-math.inf] * len(s)
+    for e in range(1, len(s) + 1):
+        ways = [sums[b] + logq[known[s[b:e]]] for b in range(max(0, e - 40), e) if s[b:e] in known]
+        if s[e - 1] not in known:
+            ways.append(sums[e - 1] + sum(logq[unit[x]] for x in s[e - 1].encode()))
+        sums[e] = np.logaddexp.reduce(ways)
+    return sums[-1]
+
+
 def test_lattice_sums_all_segmentations():
     pieces = lattice_lm.pieces_of(piece_model())
     known = {p: pieces.automaton.get(p) for p in pieces.automaton.keys()}
-    words = ["the", "", "other", "x①", "日本", "a▁b", "z" * 200]
-
-    def brute(s):
-        sums = [0.0] + [-math.inf] * len(s)
-        for e in range(1, len(s) + 1):
-            ways = [sums[b] + pieces.start[known[s[b:e]]] for b in range(e) if s[b:e] in known]
-            if s[e - 1] not in known:
-                ways.append(sums[e - 1] + sum(pieces.start[pieces.bytes[x]] for x in s[e - 1].encode()))
-            sums[e] = np.logaddexp.reduce(ways)
-        return sums[-1]
-
+    words = ["the", "", "other", "x①", "日本", "a▁b", "z" * 100]
     got, used = pieces.marginals(words, pieces.start, np.ones(len(words)))
-    assert got == pytest.approx([brute("▁" + w) for w in words], abs=1e-9)
+    assert got == pytest.approx([brute_lattice("▁" + w, known, pieces.bytes, pieces.start) for w in words], abs=1e-9)
     letters = sum((pieces.lengths * used)[pieces.lengths > 0])
     assert letters == pytest.approx(sum(len(w) + 1 for w in words) - 1, abs=1e-6)  # all characters but the one without a piece
+    # expected uses, with every segmentation written out
+    few, times = ["the", "other", "x①", "日本"], np.array([1.0, 2.0, 1.0, 3.0])
+    want = np.zeros(pieces.size)
+    for w, n in zip(few, times):
+        ways = list(segmentations("▁" + w, known, pieces.bytes))
+        odds = np.array([math.exp(sum(pieces.start[p] for p in way)) for way in ways])
+        for way, share in zip(ways, odds / odds.sum()):
+            for p in way:
+                want[p] += n * share
+    assert pieces.marginals(few, pieces.start, times)[1] == pytest.approx(want, abs=1e-9)
+
+
+def test_long_words_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    pieces, draw = lattice_lm.pieces_of(piece_model()), random.Random(3)
+    word = "".join(draw.choice("abcdefg①日 é".replace(" ", "")) for _ in range(500))
+    total, used = pieces.long_marginal(word, pieces.start, True)
+    monkeypatch.setattr(lattice_lm, "LONG", 10**9)
+    (want,), uses = pieces.marginals([word], pieces.start, np.ones(1))
+    assert total == pytest.approx(want, abs=1e-8) and used == pytest.approx(uses, abs=1e-8)
+    monkeypatch.undo()
+    for size in (7, 64):
+        monkeypatch.setattr(lattice_lm, "PART", size)
+        again, same = pieces.long_marginal(word, pieces.start, True)
+        assert again == pytest.approx(total, abs=1e-9) and same == pytest.approx(used, abs=1e-9)
+    monkeypatch.undo()
+    tracemalloc.start()
+    got, _ = pieces.marginals(["ab" * 100_000], pieces.start)
+    assert np.isfinite(got[0]) and tracemalloc.get_traced_memory()[1] < 16_000_000
+    tracemalloc.stop()
+
+
+def test_score_against_brute_force(spark):
+    """Whole texts, word by word: each the text's own so far, or by its arcs, as the docstring says."""
+    draw = random.Random(8)
+    said = ["alpha", "beta", "Gamma", "日本", "x①", "the", "unseen"]
+    rows = [(k, " ".join(draw.choice(said[: 3 + k % 5]) for _ in range(k % 9))) for k in range(60)] + [(100, None), (101, "new words neWords " + "q" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") % 4 != 1
+    model = lattice_lm.fit(docs, train, piece_model())
+    pieces = lattice_lm.pieces_of(piece_model())
+    known = {p: pieces.automaton.get(p) for p in pieces.automaton.keys()}
+    texts = {k: (t or "").encode().lower().split() for k, t in rows}
+    c = Counter(w for k, t in texts.items() if k % 4 != 1 for w in t)
+    seen, ends = sum(c.values()), sum(k % 4 != 1 for k in texts)
+    assert (model.tokens, model.types, model.ends) == (seen + ends, len(c) + 1, ends)
+    # pieces by the passes of expectation-maximisation over distinct words, with every segmentation summed
+    logq = pieces.start
+    for _ in range(lattice_lm.PASSES):
+        used = sum(pieces.marginals([w.decode()], logq, np.ones(1))[1] for w in c)
+        total, prior = used.sum(), np.exp(pieces.start)
+        logq = np.log((used + prior * len(prior) + 1e-12 * (prior > 0)) / (total + len(prior)) + 1e-300)
+    stop = min(max(len(c) / total, 1e-3), 0.999)
+    path = {w: brute_lattice("▁" + w.decode(), known, pieces.bytes, logq + math.log1p(-stop)) - math.log1p(-stop) + math.log(stop) for t in texts.values() for w in t}
+    likely = lambda x: sum(n * math.log((1 - x) * (n - 1) / (seen - 1) + x * math.exp(path[w])) for w, n in c.items())
+    assert model.novel == pytest.approx(max(lattice_lm.SHARES, key=likely))
+    p = {w: (1 - model.novel) * c[w] / seen + model.novel * math.exp(path[w]) for w in path}
+    end = (ends + 0.5) / (seen + ends + 1)
+    got = {r["doc_id"]: r["score"] for r in lattice_lm.score_texts(docs, model).collect()}
+    for k, words in texts.items():
+        so_far, want = Counter(), math.log10(end)
+        for n, w in enumerate(words):
+            if p[w] > 0:
+                want += math.log10(1 - end) + math.log10((so_far[w] + lattice_lm.CACHE * p[w]) / (n + lattice_lm.CACHE))
+            else:
+                want += math.log10(1 - end) + (path[w] + math.log(model.novel) + math.log(lattice_lm.CACHE / (n + lattice_lm.CACHE))) / math.log(10)
+            so_far[w] += 1
+        assert got[k] == pytest.approx(want, abs=1e-6)
+
+
+def test_model_is_worth_its_cost(spark):
+    """On held-out texts whose words are all known the model is to beat the add-one-half base."""
+    got = QUERIES["op2_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out AND n_known = n_tokens")
+    told = got.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.count(F.lit(1)).alias("n")).first()
+    assert told["n"] > 20 and told["score"] >= told["base"]
 
 
 def test_scores_against_counts(spark, odd_docs):
