@@ -1,10 +1,10 @@
 """Psychometric item analysis of evaluation suites, as DataFrame operations."""
 
-from .operators.inference import backwards_p_values, benjamini_hochberg
-from .operators.items import item_moments, item_statistics, model_totals
-from .operators.suites import suite_summary
+from .operators.inference import backwards_p_values, benjamini_hochberg, tail_method
+from .operators.items import correlation, difficulty, discrimination, item_moments, item_statistics, item_variance, model_totals
+from .operators.suites import real_gap, reliability, suite_summary
 from .plans.analysis import Report, analyze
-from .plans.rendering import to_html, to_text
+from .plans.rendering import diagnosis, to_html, to_text
 from .sources.ingest import items_from_dicts, items_from_jsonl, responses_from_records, responses_from_scores
 
 __all__ = [
@@ -12,14 +12,22 @@ __all__ = [
     "analyze",
     "backwards_p_values",
     "benjamini_hochberg",
+    "correlation",
+    "diagnosis",
+    "difficulty",
+    "discrimination",
     "item_moments",
     "item_statistics",
+    "item_variance",
     "items_from_dicts",
     "items_from_jsonl",
     "model_totals",
+    "real_gap",
+    "reliability",
     "responses_from_records",
     "responses_from_scores",
     "suite_summary",
+    "tail_method",
     "to_html",
     "to_text",
 ]

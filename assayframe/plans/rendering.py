@@ -1,92 +1,79 @@
-"""Reports as text and as one HTML file.  Numbers are formatted here, in Python."""
+"""Reports as text and as one HTML file.
+
+What is listed is bounded (``listed``, ``max_items``) and fetched row by row; the
+rest is counted.  The tables themselves are the report's DataFrames.
+"""
 
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
-from pyspark.sql import Row
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
 from ..functions.scalars import VERDICT_LABELS
 from .analysis import Report
 
-RULE, THIN = "=" * 72, "-" * 72
-
-
-def diagnosis(row: Row) -> str:
-    """A sentence on what to do about an item."""
-    p, verdict = row["backwards_p"], row["verdict"]
-    if verdict == "dead":
-        if row["k"] == row["n"]:
-            return "Every model passes: it costs a run each time and separates nobody. Retire it or make it harder."
-        return "No model passes: too hard for today's models, or graded wrongly. Check the grader first."
-    if verdict == "backwards":
-        shown = "" if p is None else f" (p={p:.4f})"
-        return f"Weaker models pass more often than stronger ones, beyond chance{shown}. Suspect the grader, the prompt or a shortcut, and look before trusting it."
-    if verdict == "weak" and row["point_biserial"] < 0.0:
-        shown = "" if p is None else f" p={p:.2f}"
-        return f"Points the wrong way, but noise alone does that{shown}. No proof of a broken grader, and no usable signal."
-    if verdict == "weak":
-        return "Hardly separates strong from weak models: it pads the suite."
-    if verdict == "acceptable":
-        return "Carries signal. Fine as it is."
-    return "Separates strong from weak models cleanly. Keep it."
-
-
-def to_text(report: Report, max_items: int = 20) -> str:
-    """A report for the terminal: what to act on comes first."""
-    f = report.figures
-    lines = [RULE, "SUITE REPORT", RULE]
-    lines += [f"  {name:<22}{value}" for name, value in (
-        ("items", report.n_items),
-        ("models compared", report.n_models),
-        ("Cronbach's alpha", f"{report.alpha:.3f}  ({report.alpha_verdict})"),
-        ("std error of meas.", f"{report.sem:.2f} items"),
-        ("carrying signal", f"{report.signal_ratio:.0%}"),
-        ("dead weight", f"{report.wasted_fraction:.0%} of every run"),
-    )] + [""]
+
+def diagnosis() -> Column:
+    """What an item's figures say and what to look at, as an expression on judged items."""
+    r, p, verdict = F.format_number("point_biserial", 2), F.format_number("backwards_p", 4), F.col("verdict")
+    chance = F.coalesce(F.concat(F.lit(" (p="), p, F.lit(")")), F.lit(""))
+    said = (
+        F.when((verdict == "dead") & (F.col("k") == F.col("n")), F.format_string("Every model passes (%d of %d): a constant. Replace it by a harder variant or drop it.", "k", "n"))
+        .when(verdict == "dead", F.format_string("None of %d models passes: out of reach, or the grader never accepts. Read some answers.", "n"))
+        .when(verdict == "backwards", F.concat(F.lit("The better a model does elsewhere, the more often it fails here"), chance, F.lit(": check grader and reference answer.")))
+        .when((verdict == "weak") & (F.col("point_biserial") < 0), F.concat(F.lit("The sign is negative but within noise"), chance, F.lit(": conclude nothing from it.")))
+    )
+    rated = F.when(verdict == "weak", "Tells little about a model").when(verdict == "acceptable", "Agrees with the other items").otherwise("Agrees closely with the other items")
+    return F.coalesce(said, F.concat(rated, F.lit(" (r="), r, F.lit(").")))
+
+
+def _first(rows: DataFrame, most: int) -> Iterator[Row]:
+    return rows.limit(most).toLocalIterator()
+
+
+def _listed(head: str, lines: list[str], total: int) -> list[str]:
+    more = [f"  ... {total - len(lines)} more"] if total > len(lines) else []
+    return ["", head, *lines, *more]
+
+
+def to_text(report: Report, max_items: int = 20, listed: int = 200) -> str:
+    """A report for the terminal: models and which of their gaps are real, then items that need a hand, then the best ones."""
+    f, gap = report.figures, report.min_real_gap()
+    order = sorted(report.model_totals.items(), key=lambda x: -x[1])
+    out = [
+        f"SUITE REPORT: {report.n_items} items, {report.n_models} models",
+        f"alpha {report.alpha:.3f}, {report.alpha_verdict}; error of a total {report.sem:.2f} items; at 95 % a gap is real from {gap:.2f} items on",
+        f"{report.signal_ratio:.0%} of the items tell models apart, {report.wasted_fraction:.0%} do not",
+    ]
+    lines = []
+    for place, ((name, total), below) in enumerate(zip(order, [*order[1:], None]), 1):
+        lines.append(f"{place:>4}. {name}  {total}")
+        if below:
+            away = total - below[1]
+            lines[-1] += f"  [{away} ahead of the next: {'real' if away > gap else 'NOT DISTINGUISHABLE'}]"
+    out += ["", "MODELS", *lines]
     if f["backwards"]:
-        lines += [THIN, f"BACKWARDS ITEMS ({f['backwards']}) - look at these first", f"  Tested against chance over all {report.n_items} items, false-discovery rate {report.fdr:g}.", THIN]
-        for s in report.backwards_items().collect():
-            lines.append(f"  {s['item_id']:<32} r_pb={s['point_biserial']:+.3f}  passed={s['difficulty']:.2f}  p={s['backwards_p']:.5f}")
-        lines.append("")
+        rows = [f"  {s['item_id']}  p {s['backwards_p']:.5f}, r {s['point_biserial']:+.3f}, passed by {s['k']} of {s['n']}" for s in _first(report.backwards_items(), listed)]
+        out += _listed(f"BACKWARDS ITEMS ({f['backwards']}), false discoveries held to {report.fdr:g}", rows, f["backwards"])
     elif not report.backwards_detectable():
-        lines += [THIN, "BACKWARDS ITEMS - CANNOT BE ASSESSED", THIN, f"  With {report.n_models} models even a perfectly inverted item can't reach p <= {report.fdr:g}:", "  that none is listed is no evidence that none is there."]
-        short = report.suspicious_items().limit(5).collect()
-        if short:
-            lines.append("  Pointing the wrong way, unproven:")
-            lines += [f"    {s['item_id']:<30} r_pb={s['point_biserial']:+.3f}  p={s['backwards_p']:.3f}" for s in short]
-        lines.append("")
-    elif f["suspicious"]:
-        lines += [f"  no backwards items survive correction at FDR {report.fdr:g} ({f['suspicious']} point the wrong way, none beyond chance)", ""]
+        rows = [f"  {s['item_id']}  p {s['backwards_p']:.3f}, r {s['point_biserial']:+.3f}" for s in _first(report.suspicious_items(), 5)]
+        out += _listed(f"BACKWARDS ITEMS: NOT TESTABLE, {report.n_models} models are too few for any p of {report.fdr:g}; the most suspicious:", rows, f["suspicious"])
+    else:
+        out += ["", f"BACKWARDS ITEMS: none at {report.fdr:g}; negative but explained by noise: {f['suspicious']}"]
     if f["dead"]:
-        dead = report.dead_items().select("item_id", "k").collect()
-        lines += [THIN, f"DEAD ITEMS ({f['dead']}) - retire or rewrite", THIN]
-        for said, rows in (("every model passes", [s for s in dead if s["k"]]), ("no model passes - check the grader", [s for s in dead if not s["k"]])):
-            if rows:
-                lines.append(f"  {said} ({len(rows)}):")
-                lines += [f"    {s['item_id']}" for s in rows]
-        lines.append("")
-    lines += [THIN, "ITEMS BY INFORMATION VALUE", THIN, f"  {'item':<32} {'r_pb':>7} {'D':>7} {'p':>6}  verdict"]
-    for s in report.ranked().limit(max_items).collect():
-        lines.append(f"  {s['item_id'][:32]:<32} {s['point_biserial']:>+7.3f} {s['discrimination']:>+7.3f} {s['difficulty']:>6.2f}  {VERDICT_LABELS[s['verdict']]}")
-    if report.n_items > max_items:
-        lines.append(f"  ... {report.n_items - max_items} more")
-    lines += ["", THIN, "MODEL TOTALS", THIN]
-    order = sorted(report.model_totals.items(), key=lambda x: -x[1])
-    lines += [f"  {m:<32} {t:>4} / {report.n_items}" for m, t in order]
-    if len(order) > 1:
-        lines += ["", f"  A gap must exceed {report.min_real_gap():.2f} items to be real (95% conf)."]
-        for (a, x), (b, y) in zip(order, order[1:]):
-            lines.append(f"    {a} ({x}) vs {b} ({y}):  gap {x - y}  ->  {'real' if report.separates(a, b) else 'NOT DISTINGUISHABLE'}")
-    return "\n".join([*lines, RULE])
+        rows = [f"  {s['item_id']}  {'passed by all' if s['k'] else 'passed by none'}" for s in _first(report.dead_items(), listed)]
+        out += _listed(f"DEAD ITEMS ({f['dead']}): {f['dead_all_pass']} passed by all, {f['dead_none_pass']} by none", rows, f["dead"])
+    rows = [f"  {s['point_biserial']:+.3f} {s['discrimination']:+.3f} {s['difficulty']:.2f}  {VERDICT_LABELS[s['verdict']]:<9}  {s['item_id']}" for s in _first(report.ranked(), max_items)]
+    return "\n".join([*out, *_listed("ITEMS by r, with D and pass rate", rows, report.n_items)])
 
 
 STYLE = """
 body{font:16px/1.5 system-ui,sans-serif;max-width:70rem;margin:2rem auto;padding:0 1rem;color:#1d2127;background:#fff}
-.figures{display:flex;flex-wrap:wrap;gap:1rem;margin:1.5rem 0}
-.figures>div{border:1px solid #d6dae0;border-radius:6px;padding:.8rem 1rem;min-width:10rem}
-.figures b{display:block;font-size:1.5rem}
-.figures small{color:#5c6570}
+dl{display:grid;grid-template-columns:max-content 1fr;gap:.2rem 1rem}
+dd{margin:0;font-variant-numeric:tabular-nums}
 table{border-collapse:collapse;width:100%;font-size:.9rem}
 th,td{padding:.45rem .6rem;border-bottom:1px solid #e4e7eb;text-align:left;vertical-align:top}
 td.num{font-variant-numeric:tabular-nums;white-space:nowrap}
@@ -94,27 +81,26 @@ td.num{font-variant-numeric:tabular-nums;white-space:nowrap}
 """
 
 
-def to_html(report: Report, title: str = "Suite report") -> str:
-    """All items in one self-contained page; names are escaped, nothing is loaded."""
-    e = html.escape
-    strong = report.figures["strong"]
-    cards = (
-        ("Dead weight", f"{report.wasted_fraction:.0%}", "of every run informs nothing"),
-        ("Carrying signal", f"{report.signal_ratio:.0%}", f"{strong} strong items"),
-        ("Reliability", f"{report.alpha:.3f}", f"Cronbach's alpha: {report.alpha_verdict}"),
-        ("Real gap", f"{report.min_real_gap():.2f}", "closer models are tied (95% conf)"),
+def to_html(report: Report, title: str = "Suite report", max_items: int = 10_000) -> str:
+    """Items, best first, in one self-contained page; names are escaped, nothing is loaded."""
+    e, f = html.escape, report.figures
+    facts = (
+        ("Items, models", f"{report.n_items}, {report.n_models}"),
+        ("Alpha", f"{report.alpha:.3f} ({report.alpha_verdict})"),
+        ("Gap that is real at 95 %", f"{report.min_real_gap():.2f} items"),
+        ("Tell models apart", f"{report.signal_ratio:.0%}"),
+        *((VERDICT_LABELS[v], str(f[v])) for v in ("dead", "backwards", "weak", "acceptable", "strong")),
     )
     rows = []
-    for s in report.ranked().collect():
-        cells = [f"{s['point_biserial']:+.3f}", f"{s['discrimination']:+.3f}", f"{s['difficulty']:.2f}", f"{s['k']}/{s['n']}"]
-        rows.append(
-            f"<tr><td>{e(s['item_id'])}</td>" + "".join(f'<td class="num">{c}</td>' for c in cells)
-            + f'<td class="{s["verdict"]}">{VERDICT_LABELS[s["verdict"]]}</td><td>{e(diagnosis(s))}</td></tr>'
-        )
-    figures = "".join(f"<div><small>{e(a)}</small><b>{e(b)}</b><small>{e(c)}</small></div>" for a, b, c in cards)
-    heads = "".join(f"<th>{x}</th>" for x in ("Item", "r", "D", "p", "Passed", "Verdict", "What to do"))
+    for s in _first(report.ranked().withColumn("said", diagnosis()), max_items):
+        figures = (VERDICT_LABELS[s["verdict"]], f"{s['k']} of {s['n']}", f"{s['point_biserial']:+.3f}", f"{s['discrimination']:+.3f}")
+        cells = "".join(f'<td class="num {s["verdict"]}">{c}</td>' for c in figures)
+        rows.append(f"<tr><td>{e(s['item_id'])}</td>{cells}<td>{e(s['said'])}</td></tr>")
+    if report.n_items > len(rows):
+        rows.append(f'<tr><td colspan="6">and {report.n_items - len(rows)} more</td></tr>')
+    told = "".join(f"<dt>{e(a)}</dt><dd>{e(b)}</dd>" for a, b in facts)
+    heads = "".join(f"<th>{x}</th>" for x in ("Item", "Verdict", "Passed by", "r", "D", "Reading"))
     return (
         f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{e(title)}</title><style>{STYLE}</style></head>\n'
-        f"<body><h1>{e(title)}</h1><p>{report.n_items} items, {report.n_models} models</p>\n"
-        f'<div class="figures">{figures}</div>\n<table><thead><tr>{heads}</tr></thead><tbody>\n' + "\n".join(rows) + "\n</tbody></table></body></html>"
+        f"<body><h1>{e(title)}</h1><dl>{told}</dl>\n<table><thead><tr>{heads}</tr></thead><tbody>\n" + "\n".join(rows) + "\n</tbody></table></body></html>"
     )

@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import ITEMS, RESPONSES
@@ -83,8 +83,6 @@ def items_from_dicts(spark: SparkSession, rows: Iterable[dict[str, Any]], suite_
 
 def _in_order(rows: DataFrame, suite_id: str, order: str) -> DataFrame:
     """Numbers rows from 0 in order; a suite's definition, unlike its outcomes, is small."""
-    from pyspark.sql import Window
-
     idx = F.row_number().over(Window.orderBy(order)) - 1
     return rows.select(F.lit(suite_id).alias("suite_id"), idx.cast("int").alias("item_idx"), "item_id", "prompt", "tags", "meta").to(_schema(ITEMS))
 
@@ -124,8 +122,11 @@ def missing_cells(records: DataFrame, items: DataFrame) -> DataFrame:
     partial = have.groupBy("suite_id", "model").agg(F.count(F.lit(1)).alias("has")).join(sizes, "suite_id").where("has < size").select("suite_id", "model")
     grid = partial.join(items.select("suite_id", "item_idx", "item_id"), "suite_id")
     absent = grid.join(have, ["suite_id", "model", "item_id"], "left_anti")
-    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("item_idx", "item_id"))), 1, SHOWN), lambda x: x["item_id"])
-    return absent.groupBy("suite_id", "model").agg(F.count(F.lit(1)).alias("n_missing"), first.alias("first_missing"))
+    place = F.row_number().over(Window.partitionBy("suite_id", "model").orderBy("item_idx"))
+    shown = absent.withColumn("place", place).where(F.col("place") <= SHOWN).groupBy("suite_id", "model")
+    first = F.transform(F.sort_array(F.collect_list(F.struct("item_idx", "item_id"))), lambda x: x["item_id"])
+    counts = absent.groupBy("suite_id", "model").agg(F.count(F.lit(1)).alias("n_missing"))
+    return counts.join(shown.agg(first.alias("first_missing")), ["suite_id", "model"])
 
 
 def responses_from_records(records: DataFrame, items: DataFrame, order: Column | None = None, suite_id: str | None = None) -> DataFrame:
@@ -150,8 +151,6 @@ def responses_from_records(records: DataFrame, items: DataFrame, order: Column |
     if hole is not None:
         more = " ..." if hole["n_missing"] > SHOWN else ""
         raise ValueError(f"model {hole['model']!r} has no result for {hole['n_missing']} item(s): {hole['first_missing']}{more}")
-    from pyspark.sql import Window
-
     models = cells.groupBy("suite_id", "model").agg(F.min("seen").alias("seen"))
     models = models.withColumn("model_idx", (F.row_number().over(Window.partitionBy("suite_id").orderBy("seen", "model")) - 1).cast("int")).drop("seen")
     placed = cells.join(items.select("suite_id", "item_idx", "item_id"), ["suite_id", "item_id"]).join(models, ["suite_id", "model"])
@@ -182,9 +181,23 @@ def responses_from_scores(spark: SparkSession, items: DataFrame, scores: dict[st
 
 
 def check_analysable(responses: DataFrame) -> None:
-    """At least two models, then two items, in every suite."""
-    least = responses.groupBy("suite_id").agg(F.count_distinct("model_idx").alias("m"), F.count_distinct("item_idx").alias("i")).agg(F.min("m").alias("m"), F.min("i").alias("i")).first()
-    if (least["m"] or 0) < 2:
+    """At least two models, then two items, in every suite, and one cell of 0 or 1 for each model and item: one aggregate."""
+    suites = responses.groupBy("suite_id").agg(
+        F.count_distinct("model_idx").alias("m"),
+        F.count_distinct("item_idx").alias("i"),
+        F.count_distinct("model_idx", "item_idx").alias("cells"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.coalesce(~F.col("passed").isin(0, 1), F.lit(True))).alias("other"),
+    )
+    told = suites.agg(
+        F.min("m").alias("m"), F.min("i").alias("i"), F.sum("other").alias("other"),
+        F.sum(F.col("rows") - F.col("cells")).alias("repeated"), F.sum(F.col("m") * F.col("i") - F.col("cells")).alias("missing"),
+    ).first()
+    if (told["m"] or 0) < 2:
         raise ValueError("item analysis needs at least 2 models to compare")
-    if (least["i"] or 0) < 2:
+    if (told["i"] or 0) < 2:
         raise ValueError("need at least 2 items to analyse a suite")
+    if told["other"]:
+        raise ValueError(f"{told['other']} cells are not 0 or 1")
+    if told["repeated"] or told["missing"]:
+        raise ValueError(f"every model needs one cell an item: {told['repeated']} repeated, {told['missing']} missing")

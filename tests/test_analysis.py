@@ -74,7 +74,7 @@ def test_swapped_item_is_suspicious_only(spark):
     assert rep.backwards_items().isEmpty()
     row = {r["item_id"]: r for r in rep.suspicious_items().collect()}["most-pass"]
     assert row["point_biserial"] < 0 and row["backwards_p"] > 0.05
-    assert "noise" in diagnosis(row) and "CANNOT BE ASSESSED" in to_text(rep)
+    assert "noise" in rep.items.where(F.col("item_id") == row["item_id"]).select(diagnosis()).first()[0] and "NOT TESTABLE" in to_text(rep)
 
 
 def test_twelve_models_convict_one_item(spark):
@@ -212,3 +212,28 @@ def test_html_is_escaped_and_self_contained(spark):
     assert page.startswith("<!doctype html>")
     assert "<script>" not in page and "&lt;script&gt;" in page and "Injection &lt;test&gt;" in page
     assert "http://" not in page and "https://" not in page and "//cdn" not in page
+
+
+@pytest.mark.parametrize(
+    ("change", "said"),
+    [("CASE WHEN model_idx = 0 AND item_idx = 0 THEN 7 ELSE passed END", "1 cells are not 0 or 1"), ("CASE WHEN item_idx = 1 THEN NULL ELSE passed END", "cells are not 0 or 1")],
+)
+def test_cells_are_checked(spark, change, said):
+    rows = responses(spark, *twelve())
+    with pytest.raises(ValueError, match=said):
+        analyze(rows.withColumn("passed", F.expr(change).cast("int")))
+
+
+def test_ragged_and_repeated_cells_are_refused(spark):
+    rows = responses(spark, *twelve())
+    with pytest.raises(ValueError, match="0 repeated, 1 missing"):
+        analyze(rows.where("NOT (model_idx = 2 AND item_idx = 1)"))
+    with pytest.raises(ValueError, match="1 repeated, 0 missing"):
+        analyze(rows.union(rows.where("model_idx = 2 AND item_idx = 1")))
+
+
+def test_diagnosis_of_every_kind(spark):
+    got = {r["verdict"]: r["said"] for r in analyze(responses(spark, *demo())).items.select("verdict", diagnosis().alias("said")).collect()}
+    assert "grader" in got["backwards"] and "(p=0.0025)" in got["backwards"] and "(r=" in got["strong"]
+    dead = {r[0] for r in analyze(responses(spark, *demo())).dead_items().select(diagnosis()).collect()}
+    assert {x[:5] for x in dead} == {"Every", "None "}
