@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,13 +45,17 @@ def spearman(scores: DataFrame, a: str, b: str, by: list[str] = SUITE) -> DataFr
     return both.withColumn("spearman", 1 - 6 * F.col("d2") / F.nullif(n * (n * n - 1), F.lit(0)))
 
 
-def trimmed_agreement(responses: DataFrame, totals: DataFrame, items: DataFrame, verdicts: tuple[str, ...], by: list[str] = SUITE) -> DataFrame:
-    """Totals over the items with some verdicts against totals over all."""
-    kept = sized(items.where(F.col("verdict").isin(*verdicts)).select(*by, "item_idx"))
-    part = model_totals(responses.join(kept, [*by, "item_idx"], "left_semi"), by).select(*by, "model_idx", F.col("total").alias("trimmed"))
-    both = totals.join(part, [*by, "model_idx"], "left").withColumn("trimmed", F.coalesce("trimmed", F.lit(0)))
-    told = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n_kept"))
-    return spearman(both, "total", "trimmed", by).join(told, by, "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
+def trimmed_agreement(responses: DataFrame, totals: DataFrame, items: DataFrame, kept: dict[str, tuple[str, ...]], by: list[str] = SUITE) -> DataFrame:
+    """Totals over the items with some verdicts against totals over all: a row for each named set of verdicts, in one pass."""
+    judged = sized(items.select(*by, "item_idx", "verdict"))
+    has = lambda name: F.col("verdict").isin(*kept[name])
+    sums = [F.sum(F.when(has(n), F.col("passed")).otherwise(0)).cast("long").alias(n) for n in kept]
+    part = responses.select(*by, "model_idx", "item_idx", "passed").join(judged, [*by, "item_idx"]).groupBy(*by, "model_idx").agg(*sums)
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("kept"), F.col(n).alias("trimmed")) for n in kept]))
+    both = totals.join(part, [*by, "model_idx"]).select(*by, "model_idx", "total", named.alias("t")).select(*by, "model_idx", "total", "t.*")
+    sizes = judged.groupBy(*by).agg(*[F.count_if(has(n)).alias(n) for n in kept])
+    told = sizes.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("kept"), F.col(n).alias("n_kept")) for n in kept])).alias("t")).select(*by, "t.*")
+    return spearman(both, "total", "trimmed", [*by, "kept"]).join(told, [*by, "kept"])
 
 
 def bootstrap_winners(responses: DataFrame, items: int, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
@@ -73,46 +78,52 @@ def bootstrap_winners(responses: DataFrame, items: int, resamples: int = RESAMPL
     return best.groupBy("model_idx").agg(F.count(F.lit(1)).alias("wins")).join(everyone, "model_idx").withColumn("share", F.col("wins") / resamples)
 
 
-def curveball(rows: list[set[int]], trades: int, rng) -> list[set[int]]:
+def curveball(rows: list[set[int]], trades: int, draw: random.Random) -> list[set[int]]:
     """Random 0/1 matrix with both margins kept: pairs of rows trade equally many of what only one has."""
-    import numpy as np
-
-    rows = [set(r) for r in rows]
-    pairs = rng.integers(0, len(rows), (trades, 2))
-    for i, j in pairs:
-        if i == j:
-            continue
-        mine, theirs = sorted(rows[i] - rows[j]), sorted(rows[j] - rows[i])
+    rows, n = [set(r) for r in rows], len(rows)
+    for _ in range(trades):
+        i, j = int(draw.random() * n), int(draw.random() * n)
+        mine, theirs = rows[i] - rows[j], rows[j] - rows[i]
         most = min(len(mine), len(theirs))
         if not most:
             continue
-        k = int(rng.integers(1, most + 1))
-        give, take = (np.array(x)[rng.permutation(len(x))[:k]].tolist() for x in (mine, theirs))
-        rows[i] = rows[i].difference(give).union(take)
-        rows[j] = rows[j].difference(take).union(give)
+        k = 1 + int(draw.random() * most)
+        # members are small whole numbers, so the order of a set is the same in every worker
+        give, take = draw.sample(tuple(mine), k), draw.sample(tuple(theirs), k)
+        rows[i].difference_update(give)
+        rows[i].update(take)
+        rows[j].difference_update(take)
+        rows[j].update(give)
     return rows
 
 
+#: Cells of a matrix that is sent to every task of a randomisation.
+MATRIX_CELLS = 20_000_000
+
+
 def curveball_null(responses: DataFrame, reps: int = RANDOMISATIONS, trades: int = TRADES, seed: int = 0, threshold: float = -0.05) -> DataFrame:
     """For each randomisation, how many items a fixed correlation threshold would call backwards.
 
     A chain of trades is sequential, so a randomisation is one task's work; its
-    seed is its own number, so a retry repeats it.  The matrix of one cohort is
-    sent along; ``trades`` and the cohort's size bound the work.
+    seed is its own number, so a retry repeats it.  The matrix of one cohort, of
+    at most ``MATRIX_CELLS`` cells, is sent to every task.
     """
     import numpy as np
 
     spark = responses.sparkSession
-    passes = responses.where("passed = 1").groupBy("item_idx").agg(F.collect_list("model_idx").alias("models")).orderBy("item_idx").collect()
     sizes = responses.agg(F.count_distinct("item_idx").alias("items"), (F.max("model_idx") + 1).alias("models")).first()
-    n, rows = sizes["models"], [sorted(r["models"]) for r in passes]
-    rows += [[]] * (sizes["items"] - len(rows))
+    n, m = sizes["models"] or 0, sizes["items"]
+    if n * m > MATRIX_CELLS:
+        raise ValueError(f"a cohort of {n} models and {m} items exceeds {MATRIX_CELLS} cells: choose a smaller one")
+    passes = responses.where("passed = 1").groupBy("item_idx").agg(F.sort_array(F.collect_list("model_idx")).alias("models")).orderBy("item_idx").collect()
+    rows = [r["models"] for r in passes]
+    shared = spark.sparkContext.broadcast(rows + [[]] * (m - len(rows)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for rep in batch["id"]:
-                new = curveball([set(r) for r in rows], trades, np.random.default_rng([seed, int(rep)]))
+                new = curveball(shared.value, trades, random.Random(f"{seed}-{rep}"))
                 x = np.zeros((len(new), n), np.int64)
                 for i, r in enumerate(new):
                     x[i, list(r)] = 1

@@ -146,6 +146,28 @@ o AS (SELECT *, row_number() OVER w AS place, lead(model) OVER w AS model_b, lea
 SELECT place::INT AS place, model AS model_a, model_b, total - total_b AS gap, total - total_b > real_gap AS "real" FROM o CROSS JOIN gap WHERE model_b IS NOT NULL""",
     "tied_for_first": f"WITH {NAT}{reliability()} SELECT model, total FROM tot CROSS JOIN gap WHERE (SELECT max(total) FROM tot) - total <= real_gap",
     "two_raters": f"WITH {chain(raters_sql('VARCHAR'))}{tested()} SELECT verdict, method AS p_method, count(*) AS n_items, sum(k)::BIGINT AS passes FROM judged GROUP BY ALL",
+    "indistinct_pairs": f"""
+WITH {NAT}{reliability()}, o AS (SELECT total - lead(total) OVER (ORDER BY total DESC, model_idx) AS gap FROM tot)
+SELECT count(gap) AS n_pairs, count(*) FILTER (gap <= real_gap) AS n_indistinct,
+       any_value(CASE WHEN alpha >= 0.9 THEN 'excellent, or items that repeat each other' WHEN alpha >= 0.8 THEN 'good' WHEN alpha >= 0.7 THEN 'acceptable'
+                 WHEN alpha >= 0.6 THEN 'questionable' ELSE 'poor: totals of this suite hardly mean one thing' END) AS alpha_band FROM o CROSS JOIN gap""",
+    "diagnoses": f"""
+WITH {NAT_T} SELECT item_id, CASE WHEN k = n THEN 'Every model passes ' WHEN k = 0 THEN 'None of ' WHEN verdict = 'backwards' THEN 'The better a model does elsewhere, the more often it fails here '
+  WHEN verdict = 'weak' AND r < 0 THEN 'The sign is negative but within noise ' WHEN verdict = 'weak' THEN 'Tells little about a model ' WHEN verdict = 'acceptable' THEN 'Agrees with the other items '
+  ELSE 'Agrees closely with the other items ' END AS said FROM judged""",
+    "weak_supplier_items": f"WITH {SUP_T} SELECT item_id, round(r, 9) AS r FROM judged WHERE verdict = 'weak'",
+    "score_arrays": f"WITH {NAT} SELECT model_idx, model, item_idx, item_id, passed FROM resp",
+    "json_items": """
+SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS item_idx, n_nationkey::VARCHAR AS item_id, n_name AS prompt, n_regionkey::VARCHAR AS tags,
+       concat('{"region":', n_regionkey, '}') AS meta FROM nation""",
+    "null_summary": f"""
+SELECT round(avg(n), 9) AS null_mean, round(stddev_pop(n), 9) AS null_sd, min(n) AS null_min, max(n) AS null_max, round(avg((n >= 5)::INT), 9) AS p
+FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)""",
+    "tree_matrix": """
+WITH f AS (SELECT DISTINCT (o_custkey % 9)::VARCHAR AS model, (o_orderkey % 40)::VARCHAR AS item_id FROM orders WHERE o_orderkey % 3 = 0),
+m AS (SELECT model, (row_number() OVER (ORDER BY model) - 1)::INT AS model_idx FROM (SELECT DISTINCT model FROM f))
+SELECT model_idx, m.model, i::INT AS item_idx, i::VARCHAR AS item_id, (f.model IS NOT NULL)::INT AS passed
+FROM m CROSS JOIN (SELECT unnest(range(45)) AS i) LEFT JOIN f ON f.model = m.model AND f.item_id = i::VARCHAR""",
     "from_records": f"""
 WITH {RECORDS.format(t='VARCHAR')}
 SELECT (dense_rank() OVER (ORDER BY first_ord) - 1)::INT AS model_idx, model, item_idx, item_id, passed FROM (

@@ -16,6 +16,7 @@ from ..operators import study, suites
 from ..operators.inference import tail_method
 from ..sources import ingest, results_tree
 from .analysis import Analysis, cohort_sweep, plan
+from .rendering import diagnosis
 from .fixtures import NATION, SUPPLIER, matrix, matrix_sql, raters, raters_sql, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +158,56 @@ def two_raters(spark, sf_dir):
     return done.items.groupBy("verdict", "p_method").agg(F.count(F.lit(1)).alias("n_items"), F.sum("k").alias("passes"))
 
 
+def indistinct_pairs(spark, sf_dir):
+    """Neighbours in the ranking that noise explains, counted; and the band of the suite's reliability."""
+    done = _plan(spark, sf_dir)
+    pairs = suites.adjacent_pairs(done.totals, done.summary).groupBy("suite_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(~F.col("real")).alias("n_indistinct"))
+    return pairs.join(done.summary.select("suite_id", "alpha_band"), "suite_id").select("n_pairs", "n_indistinct", "alpha_band")
+
+
+def diagnoses(spark, sf_dir):
+    """Each item's reading, up to its first figure."""
+    said = F.regexp_extract(diagnosis(), "^[^0-9(]*", 0).alias("said")
+    return _tested(spark, sf_dir).select("item_id", said)
+
+
+def weak_supplier_items(spark, sf_dir):
+    return suites.with_verdict(_tested(spark, sf_dir, SUPPLIER), "weak").select("item_id", r9("point_biserial").alias("r"))
+
+
+def score_arrays(spark, sf_dir):
+    """Responses from one array of scores a model."""
+    resp = _nation(spark, sf_dir)
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("item_idx", "passed"))), lambda c: c["passed"])
+    arrays = resp.groupBy("model_idx", "model").agg(cells.alias("scores"))
+    items = resp.select("item_idx", "item_id").distinct()
+    return ingest.responses_from_scores(spark, items, arrays, "s").select("model_idx", "model", "item_idx", "item_id", "passed")
+
+
+def json_items(spark, sf_dir):
+    """Items from rows given as dictionaries, in their order."""
+    part = tables(spark, sf_dir, "nation")["nation"].orderBy("n_nationkey").collect()
+    rows = [{"id": r["n_nationkey"], "prompt": r["n_name"], "tags": [str(r["n_regionkey"])], "region": r["n_regionkey"]} for r in part]
+    got = ingest.items_from_dicts(spark, rows, "s")
+    return got.select("item_idx", "item_id", "prompt", F.array_join("tags", ",").alias("tags"), F.to_json("meta").alias("meta"))
+
+
+def null_summary(spark, sf_dir):
+    """The summary of a given null distribution: as many as a nation has customers, against 5."""
+    null = tables(spark, sf_dir, "customer")["customer"].groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("backwards"))
+    told = study.null_summary(null, 5)
+    return told.select(r9("null_mean").alias("null_mean"), r9("null_sd").alias("null_sd"), "null_min", "null_max", r9("p").alias("p"))
+
+
+def tree_matrix(spark, sf_dir):
+    """The matrix of submissions and the items that they resolved."""
+    orders = tables(spark, sf_dir, "orders")["orders"].where("o_orderkey % 3 = 0")
+    found = orders.select((F.col("o_custkey") % 9).cast("string").alias("submission"), (F.col("o_orderkey") % 40).cast("string").alias("item_id")).distinct()
+    items = spark.range(45).select(F.col("id").cast("int").alias("item_idx"), F.col("id").cast("string").alias("item_id"))
+    got = results_tree.matrix(found.select("submission"), items, found)
+    return got.select("model_idx", "model", "item_idx", "item_id", "passed")
+
+
 # ---- ingest --------------------------------------------------------------
 
 RECORDS = """
@@ -216,8 +267,8 @@ def cohort_sweep_query(spark, sf_dir):
 def trim_rank_agreement(spark, sf_dir):
     resp = _nation(spark, sf_dir)
     done = plan(resp, FDR)
-    out = [study.trimmed_agreement(resp, done.totals, done.items, v).withColumn("kept", F.lit(name)) for name, v in (("non-dead", suites.USEFUL), ("informative", ("acceptable", "strong")))]
-    return out[0].unionByName(out[1]).select("kept", "n_kept", r9("spearman").alias("spearman"))
+    told = study.trimmed_agreement(resp, done.totals, done.items, {"non-dead": suites.USEFUL, "informative": ("acceptable", "strong")})
+    return told.select("kept", "n_kept", r9("spearman").alias("spearman"))
 
 
 def spearman(spark, sf_dir):
@@ -281,6 +332,13 @@ QUERIES: dict[str, Query] = {
     "separates_adjacent": separates_adjacent,
     "tied_for_first": tied_for_first,
     "two_raters": two_raters,
+    "indistinct_pairs": indistinct_pairs,
+    "diagnoses": diagnoses,
+    "weak_supplier_items": weak_supplier_items,
+    "score_arrays": score_arrays,
+    "json_items": json_items,
+    "null_summary": null_summary,
+    "tree_matrix": tree_matrix,
     "from_records": from_records,
     "missing_cells": missing_cells,
     "unknown_items": unknown_items,

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from assayframe.streaming import refresh
 def test_curveball_keeps_margins():
     draw = np.random.default_rng(5)
     x = draw.random((30, 9)) < 0.4
-    new = study.curveball([set(np.flatnonzero(r)) for r in x], 3000, np.random.default_rng(1))
+    new = study.curveball([set(np.flatnonzero(r)) for r in x], 3000, random.Random(1))
     y = np.zeros_like(x)
     for i, r in enumerate(new):
         y[i, list(r)] = True
