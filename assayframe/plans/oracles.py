@@ -208,6 +208,6 @@ SELECT repo, total FROM (SELECT concat(o_orderpriority, '/x') AS repo, o_custkey
 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY c DESC, total) = 1""",
     "ghost_items": """
 WITH b AS (SELECT p_brand, count(*) AS c, max(count(*)) OVER () + 1 AS total FROM part GROUP BY 1)
-SELECT concat(p_brand, '/x') AS repo, concat(p_brand, '__x__UNSOLVED-', lpad(k::VARCHAR, greatest(2, length(k::VARCHAR)), '0')) AS item_id
+SELECT concat(p_brand, '/x') AS repo, concat(p_brand, '__x__UNSOLVED-', lpad(k::VARCHAR, greatest(2, length(k::VARCHAR))::INT, '0')) AS item_id
 FROM (SELECT p_brand, unnest(range(1, total - c + 1)) AS k FROM b)""",
 }
