@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import check_rate, normal_cdf
 from ..functions.tails import EXACT_CELLS, exact_tail
 from ..schema import SUITE
-from .items import rest_variance_n2, sized
+from .items import hinted, rest_variance_n2
 
 
 def tail_method() -> Column:
@@ -36,11 +36,12 @@ def backwards_p_values(responses: DataFrame, ranked: DataFrame, moments: DataFra
     """Moments with p_method and backwards_p (null where undefined).
 
     Vectors of rest scores are gathered for items with an exact tail only; their
-    length is bounded by the exact tail's budget.
+    length is bounded by the exact tail's budget.  ``moments`` are counted first,
+    so they should be in storage.
     """
     told = moments.withColumn("p_method", tail_method())
     exact = told.where("p_method = 'exact'").select(*by, "item_idx", F.col("k").alias("passes"), (F.col("stx") - F.col("k")).alias("observed"))
-    cells = responses.select(*by, "model_idx", "item_idx", "passed").join(sized(exact), [*by, "item_idx"]).join(ranked.select(*by, "model_idx", "total"), [*by, "model_idx"])
+    cells = responses.select(*by, "model_idx", "item_idx", "passed").join(hinted(exact), [*by, "item_idx"]).join(ranked.select(*by, "model_idx", "total"), [*by, "model_idx"])
     rest = cells.groupBy(*by, "item_idx", "passes", "observed").agg(F.collect_list(F.col("total") - F.col("passed")).alias("rest"))
     tails = rest.select(*by, "item_idx", exact_tail("rest", "passes", "observed").alias("exact_p"))
     normal = F.when(F.col("p_method") == "normal", normal_tail())
@@ -57,6 +58,6 @@ def benjamini_hochberg(tested: DataFrame, q: float = 0.05, by: list[str] = SUITE
     steps = tested.where(F.col(p_col).isNotNull()).groupBy(*by, F.col(p_col).alias("p")).agg(F.count(F.lit(1)).alias("ties"))
     everyone = Window.partitionBy(*by)
     rank = F.sum("ties").over(everyone.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    steps = steps.withColumn("rank", rank).withColumn("m", F.sum("ties").over(everyone))
+    steps = steps.withColumns({"rank": rank, "m": F.sum("ties").over(everyone)})
     bounds = steps.where(F.col("p") <= F.lit(float(q)) * F.col("rank") / F.col("m")).groupBy(*by).agg(F.max("p").alias("p_bound"))
     return tested.join(bounds, by, "left").withColumn(flag, F.coalesce(F.col(p_col) <= F.col("p_bound"), F.lit(False))).drop("p_bound")

@@ -21,8 +21,12 @@ GROUP_FRACTION = 0.27
 
 def sized(df: DataFrame, limit: int = BROADCAST_TOTALS) -> DataFrame:
     """``df``, computed once, with a broadcast hint if it has at most ``limit`` rows."""
-    kept = df.persist()
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    return hinted(df.persist(), limit)
+
+
+def hinted(df: DataFrame, limit: int = BROADCAST_TOTALS) -> DataFrame:
+    """``df``, which a count has to be cheap of, with a broadcast hint if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def model_totals(responses: DataFrame, by: list[str] = SUITE) -> DataFrame:

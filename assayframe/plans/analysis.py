@@ -10,30 +10,38 @@ from pyspark.sql import functions as F
 from ..functions.scalars import check_rate, detectable_with, deviate
 from ..operators import suites
 from ..operators.inference import backwards_p_values
-from ..operators.items import item_moments, item_statistics, model_totals, ranked_totals, sized
+from ..operators.items import hinted, item_moments, item_statistics, model_totals, ranked_totals
 from ..schema import SUITE
 from ..sources.ingest import check_analysable
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """Tables of one analysis, keyed by ``by``."""
+    """Tables of one analysis, keyed by ``by``; ``held`` are those that it keeps in storage."""
 
     totals: DataFrame
     moments: DataFrame
     items: DataFrame
     summary: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Gives the storage back; the tables stay usable and are then computed anew."""
+        for table in self.held:
+            table.unpersist()
 
 
 def plan(responses: DataFrame, fdr: float = 0.05, by: list[str] = SUITE) -> Analysis:
     """All tables, for any number of suites (or cohorts), without checks."""
     check_rate(fdr)
-    ranked = sized(ranked_totals(model_totals(responses, by), by))
+    kept = ranked_totals(model_totals(responses, by), by).persist()
+    ranked = hinted(kept)
     totals = ranked.select(*by, "model_idx", "model", "total")
     moments = item_moments(responses, ranked, by).persist()
-    tested = backwards_p_values(responses, ranked, item_statistics(moments), by)
+    # read by the step-up and by the rows that it judges, so the tails are counted once
+    tested = backwards_p_values(responses, ranked, item_statistics(moments), by).persist()
     items = suites.judged_items(tested, fdr, by)
-    return Analysis(totals, moments, items, suites.suite_summary(items, moments, totals, by))
+    return Analysis(totals, moments, items, suites.suite_summary(items, moments, totals, by), (kept, moments, tested))
 
 
 @dataclass(frozen=True)
@@ -95,6 +103,9 @@ class Report:
     def backwards_detectable(self) -> bool:
         return detectable_with(self.n_models, self.fdr)
 
+    def release(self) -> None:
+        self.analysis.release()
+
     def healthy(self, most_wasted: float = 0.30) -> bool:
         return self.figures["backwards"] == 0 and self.wasted_fraction < most_wasted
 

@@ -237,3 +237,14 @@ def test_diagnosis_of_every_kind(spark):
     assert "grader" in got["backwards"] and "(p=0.0025)" in got["backwards"] and "(r=" in got["strong"]
     dead = {r[0] for r in analyze(responses(spark, *demo())).dead_items().select(diagnosis()).collect()}
     assert {x[:5] for x in dead} == {"Every", "None "}
+
+
+def test_release_frees_storage_and_tables_stay_usable(spark):
+    held = lambda: len(spark.sparkContext._jsc.getPersistentRDDs())
+    before = held()
+    report = analyze(responses(spark, SMALL_ITEMS, SMALL))
+    first = report.items.orderBy("item_idx").collect()
+    assert held() > before
+    report.release()
+    assert held() == before
+    assert report.items.orderBy("item_idx").collect() == first
