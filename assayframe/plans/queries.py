@@ -20,7 +20,7 @@ from .rendering import diagnosis
 from .fixtures import NATION, SUPPLIER, matrix, matrix_sql, raters, raters_sql, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-FDR, RESAMPLES = 0.05, 200
+FDR, RESAMPLES = 0.05, study.RESAMPLES
 COHORTS = (5, 10, 25)
 
 
