@@ -9,8 +9,8 @@ six standard deviations are confirmed, exactly, on their full sets.
 
 Documents with equal sets are one class, and only classes are compared, so
 copies cost nothing.  A bucket is dealt into blocks of bounded
-size.  Inside a block (first round), then between the blocks of buckets that
-still hold several components (second round), signatures are compared first;
+size.  Inside a block (first round), then, of buckets that still hold several
+components, in blocks of like set size (second round), signatures are compared first;
 only classes with a likely partner then bring their full sets, and what a block
 returns is a forest of confirmed links, never its pairs.  A pair that shares
 several bands is compared in the first of them.  So every likely pair in
@@ -27,6 +27,7 @@ threshold shares no band with probability (1 - s^5)^25, 4.3e-7 at s = 0.85.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,8 @@ SLACK = 6.0
 STRIDE = 4096
 #: Bits of the sieve of ids, as a power of two: half a megabyte.
 SIEVE_BITS = 22
+#: Digests of sets already sent that a task remembers.
+SENT = 50_000
 _LARGEST = 2**63 - 1
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -278,27 +281,41 @@ def _arrays(table: pa.Table, group: np.ndarray) -> dict[str, np.ndarray]:
 
 
 GROUP = ["bucket", "i", "j"]
-DEALT = "bucket long, i int, j int, class long, component long, side int"
+DEALT = "bucket long, i long, j long, class long, component long, side int"
 
 
-def blocks(members: DataFrame, classes: DataFrame, components: DataFrame, across: bool) -> DataFrame:
+def blocks(members: DataFrame, classes: DataFrame, components: DataFrame, threshold: float, across: bool) -> DataFrame:
     """Members of buckets that hold several components, dealt into blocks (or, across, into pairs of blocks).
 
-    A bucket of S blocks sends a class to one block in the first round and to
-    S - 1 pairs of blocks in the second.
+    The first round deals a class of a large bucket to one block of it.  For the
+    second, classes of a bucket are parted by the size of their sets, in steps of
+    the least ratio that a link allows, and a step is cut into blocks.  A class
+    meets the blocks of its own step and of the two next to it, no others: sizes
+    rule out every further link.  Steps that hold one component alone don't meet.
     """
     placed = members.join(components.hint("merge"), "class").join(classes.select("class", "n").hint("merge"), "class")
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all_n")).where("lo < hi")
-    count = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all_n") / BLOCK_SHINGLES)).cast("int")
-    open_ = stored(open_.select(F.col("bucket").alias("open_bucket"), F.least(count, F.col("size").cast("int")).alias("blocks")).where("blocks > 1" if across else "blocks > 0"), "mh-open")
-    rows = placed.select("class", "bucket", "component").join(open_.hint("merge"), F.col("bucket") == F.col("open_bucket"))
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    keyed = rows.select("bucket", "class", "component", "blocks", block.alias("block"))
+    all_of = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all_n")]
+    count = F.least(F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all_n") / BLOCK_SHINGLES)), F.col("size")).cast("long")
+    open_ = placed.groupBy("bucket").agg(*all_of).where("lo < hi")
+    open_ = stored(open_.select(F.col("bucket").alias("open_bucket"), count.alias("blocks")).where("blocks > 1" if across else "blocks > 0"), "mh-open")
+    rows = placed.join(open_.hint("merge"), F.col("bucket") == F.col("open_bucket"))
     if not across:
-        return keyed.select("bucket", F.col("block").alias("i"), F.col("block").alias("j"), "class", "component", F.lit(1).alias("side"))
-    spread = keyed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> block")
-    side = F.when(F.col("block") < F.col("other"), 0).otherwise(2)
-    return spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "component", side.alias("side"))
+        block = F.pmod(F.xxhash64("class"), F.col("blocks"))
+        return rows.select("bucket", block.alias("i"), block.alias("j"), "class", "component", F.lit(1).alias("side"))
+    # a little wider than the ratio, so that rounding can't put a link two steps apart
+    width = max(-math.log(threshold), 0.01) + 1e-6 if threshold > 0 else math.inf
+    rows = stored(rows.select("bucket", "class", "component", "n", F.floor(F.log("n") / width).cast("long").alias("step")), "mh-wide")
+    steps = rows.groupBy("bucket", "step").agg(*all_of).select("bucket", F.struct("step", count.alias("blocks"), "lo", "hi").alias("s"))
+    steps = stored(steps.groupBy(F.col("bucket").alias("open_bucket")).agg(F.collect_list("s").alias("steps")), "mh-steps")
+    told = rows.join(steps.hint("merge"), F.col("bucket") == F.col("open_bucket"))
+    told = told.withColumn("own", F.filter("steps", lambda s: s["step"] == F.col("step"))[0])
+    number = lambda step, block: step * F.lit(2**32) + block
+    meets = lambda s: (F.abs(s["step"] - F.col("step")) <= 1) & (F.least(s["lo"], F.col("own.lo")) < F.greatest(s["hi"], F.col("own.hi")))
+    others = F.flatten(F.transform(F.filter("steps", meets), lambda s: F.transform(F.sequence(F.lit(0), s["blocks"] - 1), lambda x: number(s["step"], x))))
+    here = number(F.col("step"), F.pmod(F.xxhash64("class"), F.col("own.blocks")))
+    spread = told.select("bucket", "class", "component", here.alias("here"), F.explode(others).alias("other"))
+    side = F.when(F.col("here") < F.col("other"), 0).when(F.col("here") > F.col("other"), 2).otherwise(1)
+    return spread.select("bucket", F.least("here", "other").alias("i"), F.greatest("here", "other").alias("j"), "class", "component", side.alias("side"))
 
 
 def likely_members(dealt: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -357,16 +374,23 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text", id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        passed = shared.value
+        passed, sent = shared.value, set()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                out = []
+                out = {}
                 for k, key in enumerate(batch.column(0).to_pylist()):
                     bit = _bit(key)
                     if passed[bit >> 3] >> (7 - (bit & 7)) & 1:
-                        out.append(shingles(words_of(batch.column(1)[k].as_py())).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(map(xxh3_128_digest, out), pa.binary()), pa.array(out, pa.binary())], ["digest", "hashes"])
+                        own = shingles(words_of(batch.column(1)[k].as_py())).tobytes()
+                        digest = xxh3_128_digest(own)
+                        # rows without an id pass together: what was sent before needn't go again
+                        if digest not in sent:
+                            sent.add(digest)
+                            out[digest] = own
+                if len(sent) > SENT:
+                    sent.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], ["digest", "hashes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
     found = rows.mapInArrow(run, "digest binary, hashes binary")
@@ -422,7 +446,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     components = stored(classes.select("class", F.col("class").alias("component")), "mh-components")
     links = None
     for across in (False, True):
-        dealt = stored(blocks(members, classes, components, across), "mh-dealt")
+        dealt = stored(blocks(members, classes, components, threshold, across), "mh-dealt")
         likely = stored(likely_members(dealt, classes, threshold), "mh-likely")
         if likely.isEmpty():
             continue

@@ -264,6 +264,40 @@ def test_groups_against_brute_force(spark, odd_docs, monkeypatch, block):
     assert sorted(map(tuple, got), key=repr) == brute_groups(rows, 85, 100)
 
 
+def test_large_buckets_meet_by_size(spark, monkeypatch):
+    """A passage that texts of many sizes share: every link is found, and blocks of unlike size never meet."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    draw = random.Random(4)
+    shared, rows = [f"w{k}" for k in range(60)], []
+    for extra in range(0, 72, 8):  # the longer the more, so that a bucket holds about as many of each size
+        for _ in range(int(4 * ((56 + extra) / 56) ** 5)):
+            rows.append((len(rows), " ".join(shared + [f"u{draw.randint(0, 10**9)}" for _ in range(extra)])))
+    for k in range(0, len(rows), 20):  # links of each size, some at the edge of what sizes allow
+        words = rows[k][1].split()
+        rows.append((1000 + k, " ".join(words[: max(60, int(len(words) * draw.choice([0.86, 0.9, 0.99])))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt, whole = [], minhash.blocks
+
+    def counted(*given):
+        got = whole(*given)
+        dealt.append(got.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("class").alias("classes")).collect())
+        return got
+
+    monkeypatch.setattr(minhash, "blocks", counted)
+    got = sorted(map(tuple, minhash.near_duplicates(frame).collect()), key=repr)
+    assert got == brute_groups(rows, 85, 100)
+    assert sum(not r[3] for r in got) >= 8
+    largest = max(dealt[1], key=lambda r: r["classes"])
+    blocks = -(-largest["classes"] // 4)
+    assert largest["classes"] > 20 and largest["rows"] < largest["classes"] * (blocks - 1) * 0.8
+
+
+def test_rows_without_ids_send_a_set_once(spark):
+    rows = [(None, " ".join(f"w{k}" for k in range(30)))] * 500 + [(5, " ".join(f"w{k}" for k in range(31)))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.where("component_id = 5").count() == 501 and got.where("kept").count() == 1
+
+
 def test_no_groups_of_nothing(no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
