@@ -168,6 +168,12 @@ WITH f AS (SELECT DISTINCT (o_custkey % 9)::VARCHAR AS model, (o_orderkey % 40):
 m AS (SELECT model, (row_number() OVER (ORDER BY model) - 1)::INT AS model_idx FROM (SELECT DISTINCT model FROM f))
 SELECT model_idx, m.model, i::INT AS item_idx, i::VARCHAR AS item_id, (f.model IS NOT NULL)::INT AS passed
 FROM m CROSS JOIN (SELECT unnest(range(45)) AS i) LEFT JOIN f ON f.model = m.model AND f.item_id = i::VARCHAR""",
+    "demo_grid": """
+WITH m AS (SELECT unnest(range(12))::INT AS model_idx, unnest([0.94, 0.91, 0.88, 0.82, 0.78, 0.71, 0.66, 0.59, 0.51, 0.45, 0.36, 0.28])::DOUBLE AS a),
+i AS (SELECT k::INT AS item_idx, CASE WHEN k < 12 THEN 'smoke' WHEN k < 17 THEN 'frontier' WHEN k < 37 THEN 'reasoning' ELSE 'format' END AS family,
+             k - CASE WHEN k < 12 THEN 0 WHEN k < 17 THEN 12 WHEN k < 37 THEN 17 ELSE 37 END AS no FROM (SELECT unnest(range(40)) AS k))
+SELECT model_idx, item_idx, concat(family, '-', no) AS item_id,
+       CASE family WHEN 'smoke' THEN 1 WHEN 'frontier' THEN 0 WHEN 'reasoning' THEN (a > 0.25::DOUBLE + 0.03::DOUBLE * no)::INT ELSE (a < 0.6::DOUBLE)::INT END AS passed FROM m CROSS JOIN i""",
     "from_records": f"""
 WITH {RECORDS.format(t='VARCHAR')}
 SELECT (dense_rank() OVER (ORDER BY first_ord) - 1)::INT AS model_idx, model, item_idx, item_id, passed FROM (

@@ -16,6 +16,7 @@ from ..operators import study, suites
 from ..operators.inference import tail_method
 from ..sources import ingest, results_tree
 from .analysis import Analysis, cohort_sweep, plan
+from .demo import demo_responses
 from .rendering import diagnosis
 from .fixtures import NATION, SUPPLIER, matrix, matrix_sql, raters, raters_sql, tables
 
@@ -208,6 +209,11 @@ def tree_matrix(spark, sf_dir):
     return got.select("model_idx", "model", "item_idx", "item_id", "passed")
 
 
+def demo_grid(spark, sf_dir):
+    """The demonstration's responses, of which every table size has the same."""
+    return demo_responses(spark).select("model_idx", "item_idx", "item_id", "passed")
+
+
 # ---- ingest --------------------------------------------------------------
 
 RECORDS = """
@@ -339,6 +345,7 @@ QUERIES: dict[str, Query] = {
     "json_items": json_items,
     "null_summary": null_summary,
     "tree_matrix": tree_matrix,
+    "demo_grid": demo_grid,
     "from_records": from_records,
     "missing_cells": missing_cells,
     "unknown_items": unknown_items,

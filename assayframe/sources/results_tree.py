@@ -8,7 +8,9 @@ filled in from the repositories' totals.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,8 +66,6 @@ def ghost_items(items: DataFrame, totals: DataFrame, expected: int | None = None
 
 def matrix(submissions: DataFrame, items: DataFrame, found: DataFrame, suite_id: str = "suite") -> DataFrame:
     """Responses: 1 where a submission resolved the item, else 0.  Order by name and id."""
-    from pyspark.sql import Window
-
     models = submissions.select("submission").distinct().withColumn("model_idx", (F.row_number().over(Window.orderBy("submission")) - 1).cast("int"))
     grid = models.crossJoin(items.select("item_idx", "item_id"))  # the result itself is this grid
     return grid.join(found.withColumn("hit", F.lit(1)), ["submission", "item_id"], "left").select(
@@ -77,8 +77,6 @@ def read_matrix(spark: SparkSession, path: str, suite_id: str = "suite") -> Data
     """Responses from a matrix file: one JSON object with item_ids and scores by model."""
     doc = spark.read.schema("item_ids array<string>, scores map<string,array<int>>").json(path, multiLine=True)
     cells = doc.select("item_ids", F.explode("scores").alias("model", "row"))
-    from pyspark.sql import Window
-
     order = F.dense_rank().over(Window.orderBy("model")) - 1
     rows = cells.withColumn("model_idx", order.cast("int")).select("model_idx", "model", "item_ids", F.posexplode("row").alias("item_idx", "passed"))
     return rows.select(F.lit(suite_id).alias("suite_id"), "model_idx", "model", "item_idx", F.get("item_ids", F.col("item_idx")).alias("item_id"), "passed")
@@ -88,3 +86,46 @@ def write_matrix(responses: DataFrame, path: str) -> None:
     """A matrix as rows (model, scores in suite order) of JSON, one folder of part files."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("item_idx", "passed"))), lambda c: c["passed"])
     responses.groupBy("suite_id", "model_idx", "model").agg(ordered.alias("scores")).write.mode("overwrite").json(path)
+
+
+@dataclass(frozen=True)
+class Tree:
+    """A tree of results as a suite: its responses, the labels of its submissions, and its items, of which ``unsolved`` are nobody's."""
+
+    responses: DataFrame
+    labels: DataFrame
+    items: DataFrame
+
+
+def read_tree(spark: SparkSession, root: str, expected: int | None = None, suite_id: str = "suite") -> Tree:
+    """The whole way from a tree to a suite: resolved items in the order of their ids, then the unsolved ones of each repository.
+
+    ``expected`` is the number of items that repositories' totals, and the suite, must have.
+    """
+    folders = _files(spark, root, "*/results/results.json", 3).select("submission")
+    if folders.isEmpty():
+        raise ValueError(f"{root}: no submission has results")
+    found = resolved(spark, root)
+    known = found.select("item_id").distinct()
+    unsolved = ghost_items(known, usual_totals(repo_totals(spark, root)), expected)
+    both = known.select(F.lit("").alias("repo"), "item_id", F.lit(False).alias("unsolved")).unionByName(unsolved.select("repo", "item_id", F.lit(True).alias("unsolved")))
+    # numbers of more than two digits are longer, and come later
+    order = Window.orderBy("unsolved", "repo", F.when(F.col("unsolved"), F.length("item_id")).otherwise(0), "item_id")
+    items = both.select((F.row_number().over(order) - 1).cast("int").alias("item_idx"), "item_id", "unsolved")
+    if expected is not None and (n := items.count()) != expected:
+        raise ValueError(f"the tree gives {n} items, expected {expected}")
+    return Tree(matrix(folders, items, found, suite_id), display_names(spark, root, folders), items)
+
+
+def write_matrix_file(tree: Tree, path: str) -> None:
+    """A suite as one JSON object (item_ids, n_never_solved, names, scores by model), which ``read_matrix`` reads again.
+
+    The object is one row, so it is for one suite; ``write_matrix`` has a row for each model.
+    """
+    whole = lambda key, value: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
+    row = F.transform(F.sort_array(F.collect_list(F.struct("item_idx", "passed"))), lambda c: c["passed"])
+    scores = tree.responses.groupBy("model").agg(row.alias("row")).agg(whole("model", "row").alias("scores"))
+    names = tree.labels.agg(whole("submission", "label").alias("names"))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("item_idx", "item_id"))), lambda c: c["item_id"])
+    items = tree.items.agg(ids.alias("item_ids"), F.count_if("unsolved").alias("n_never_solved"))
+    items.join(names).join(scores).coalesce(1).write.mode("overwrite").json(path)  # one row each

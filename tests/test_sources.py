@@ -98,6 +98,26 @@ def test_results_tree(spark, tmp_path):
     assert {r["model"]: r["scores"] for r in spark.read.json(str(tmp_path / "out")).collect()}["s2"] == [0, 1, 1, 0]
 
 
+def test_whole_tree_and_its_file(spark, tmp_path):
+    told = {"b": (["o__r-2", "o__r-10"], 105, "name: 'Bee'\n"), "a": (["o__r-2"], 105, None), "c": ([], 9, None)}
+    for s, (done, total, meta) in told.items():
+        (tmp_path / "in" / s / "results").mkdir(parents=True)
+        (tmp_path / "in" / s / "results" / "results.json").write_text(json.dumps({"resolved": done}))
+        (tmp_path / "in" / s / "results" / "resolved_by_repo.json").write_text(json.dumps({"o/r": {"total": total}, "a/z": {"total": 1}}))
+        (tmp_path / "in" / s / "metadata.yaml").write_text(meta or "x: 1\n")
+    got = tree.read_tree(spark, str(tmp_path / "in"), expected=106)
+    ids = ["o__r-10", "o__r-2", "a__z__UNSOLVED-01", *[f"o__r__UNSOLVED-{k:02d}" for k in range(1, 104)]]
+    assert [r["item_id"] for r in got.items.orderBy("item_idx").collect()] == ids
+    tree.write_matrix_file(got, str(tmp_path / "out"))
+    (whole,) = spark.read.json(str(tmp_path / "out")).collect()
+    assert whole["n_never_solved"] == 104 and whole["names"].asDict() == {"a": "a", "b": "Bee", "c": "c"}
+    again = tree.read_matrix(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.responses.collect())) and again.count() == 318
+    assert again.groupBy("model").agg(F.sum("passed").alias("n")).orderBy("model").collect() == [("a", 1), ("b", 2), ("c", 0)]
+    with pytest.raises(ValueError, match="expected 500"):
+        tree.read_tree(spark, str(tmp_path / "in"), expected=500)
+
+
 def test_more_than_99_missing_items(spark):
     none = spark.createDataFrame([], "item_id string")
     ghosts = tree.ghost_items(none, spark.createDataFrame([("x/y", 120)], "repo string, total int"))

@@ -3,7 +3,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from assayframe import analyze, leaderboard_study
 from assayframe.operators import study
+from assayframe.plans.demo import demo_responses, main
 from assayframe.plans.fixtures import matrix
 from assayframe.streaming import refresh
 
@@ -44,3 +46,27 @@ def test_stream_of_outcomes(spark, tmp_path):
         refresh.start(spark.readStream.schema(schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     last = refresh.state(spark, str(tmp_path / "out"), 1)
     assert {(r["kind"], r["name"]): (r["passes"], r["cells"]) for r in last.collect()}[("item", "a")] == (4, 4)
+
+
+def test_leaderboard_in_one_call(spark, sf_dir):
+    resp = matrix(spark, sf_dir).persist()
+    got = leaderboard_study(resp, cohort=6, sizes=(5, 8), randomisations=4, resamples=50, trades=500)
+    totals = sorted((r["t"] for r in resp.groupBy("model").agg(F.sum("passed").alias("t")).collect()), reverse=True)
+    assert sorted((r["total"] for r in got.cohort.totals.collect()), reverse=True) == totals[:6]
+    assert got.pairs.count() == 5 and got.n_indistinct == sum(not r["real"] for r in got.pairs.collect())
+    assert [r["cohort"] for r in got.sweep.orderBy("cohort").collect()] == [5, 8]
+    assert {r["kept"] for r in got.agreement.collect()} == {"non-dead", "informative"}
+    null = [r["backwards"] for r in got.null.collect()]
+    told = got.null_summary.first()
+    assert len(null) == 4 and told["observed"] == got.observed and told["p"] == sum(v >= got.observed for v in null) / 4
+    assert got.winners.agg(F.sum("wins")).first()[0] == 50
+    got.release()
+
+
+def test_demonstration(spark, tmp_path, capsys):
+    report = analyze(demo_responses(spark))
+    assert list(report.model_totals.values()) == [32, 32, 32, 31, 30, 28, 26, 27, 24, 22, 19, 16]
+    assert (report.figures["dead"], report.figures["backwards"], report.figures["strong"]) == (18, 3, 19)
+    main([str(tmp_path / "report.html")])
+    assert "19 of 40 items are worth keeping, which saves 5" in capsys.readouterr().out
+    assert "<html" in (tmp_path / "report.html").read_text().lower()
