@@ -37,12 +37,16 @@ def cohorts(responses: DataFrame, totals: DataFrame, sizes: tuple[int, ...] = CO
 
 
 def spearman(scores: DataFrame, a: str, b: str, by: list[str] = SUITE) -> DataFrame:
-    """Rank agreement of two columns of (model_idx, a, b); tied values keep model order, ranks aren't averaged."""
+    """Rank agreement of two columns of (model_idx, a, b); tied values keep model order, ranks aren't averaged.
+
+    Ranks are ints, whose squares exceed an int from 46,342 models on, and the
+    sum of squares a long from about three million: ``d2`` is a decimal.
+    """
     rank = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(F.col(c).desc(), "model_idx"))
-    d = F.col("rank_a") - F.col("rank_b")
-    n = F.col("n")
-    both = scores.withColumns({"rank_a": rank(a), "rank_b": rank(b)}).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(d * d).alias("d2"))
-    return both.withColumn("spearman", 1 - 6 * F.col("d2") / F.nullif(n * (n * n - 1), F.lit(0)))
+    d = F.col("rank_a").cast("long") - F.col("rank_b")
+    n = F.col("n").cast("double")
+    both = scores.withColumns({"rank_a": rank(a), "rank_b": rank(b)}).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum((d * d).cast("decimal(20,0)")).alias("d2"))
+    return both.withColumn("spearman", 1 - 6 * F.col("d2").cast("double") / F.nullif(n * (n * n - 1), F.lit(0.0)))
 
 
 def trimmed_agreement(responses: DataFrame, totals: DataFrame, items: DataFrame, kept: dict[str, tuple[str, ...]], by: list[str] = SUITE) -> DataFrame:

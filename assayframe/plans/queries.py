@@ -279,7 +279,7 @@ def trim_rank_agreement(spark, sf_dir):
 
 def spearman(spark, sf_dir):
     suppliers = tables(spark, sf_dir, "supplier")["supplier"].select(F.lit("s").alias("suite_id"), F.col("s_suppkey").alias("model_idx"), F.col("s_nationkey").alias("a"), "s_acctbal")
-    return study.spearman(suppliers, "a", "s_acctbal").select("n", "d2", r9("spearman").alias("spearman"))
+    return study.spearman(suppliers, "a", "s_acctbal").select("n", F.col("d2").cast("long").alias("d2"), r9("spearman").alias("spearman"))
 
 
 def bootstrap_winners(spark, sf_dir):

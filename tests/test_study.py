@@ -37,6 +37,14 @@ def test_spearman_of_ties_and_one_model(spark):
     assert study.spearman(rows.limit(1), "a", "b").first()["spearman"] is None
 
 
+def test_spearman_of_many_models(spark):
+    """Opposite orders of so many models that the largest squares exceed an int."""
+    n = 50_000
+    rows = spark.range(n).select(F.lit("s").alias("suite_id"), F.col("id").cast("int").alias("model_idx"), F.col("id").alias("a"), (-F.col("id")).alias("b"))
+    told = study.spearman(rows, "a", "b").first()
+    assert (told["n"], told["d2"], told["spearman"]) == (n, n * (n * n - 1) // 3, -1.0)
+
+
 def test_stream_of_outcomes(spark, tmp_path):
     rows = [("s", 0, "m", 0, "a", 1), ("s", 0, "m", 1, "b", 0), ("s", 1, "n", 0, "a", 1)]
     schema = "suite_id string, model_idx int, model string, item_idx int, item_id string, passed int"
